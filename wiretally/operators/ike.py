@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wiretally import constants as C
-from wiretally.functions.binary import be_int, byte_at, cut, size
+from wiretally.functions.binary import be_int, bind, byte_at, cut, size
 from wiretally.functions.net import proto_class
 from wiretally.functions.text import transform_name
 
@@ -18,20 +18,16 @@ def ike_messages(packets: DataFrame) -> DataFrame:
     marked = F.coalesce(natt & (F.hex(cut(p, 0, 4)) == "00000000"), F.lit(False))
     m = F.col("message")
     stated = be_int(m, 24, 4)
-    return (packets.filter(proto_class() == "ike")
-            .withColumn("message", F.when(marked, cut(p, 4, size(p))).otherwise(p))
-            .filter(size(m) >= 28)
-            .withColumn("major", F.shiftright(byte_at(m, 17), 4).cast("int"))
-            .filter(F.col("major").isin(1, 2))
-            .select("capture_id", "packet_no", "ts_us", "src", "dst", "sport", "dport",
-                    F.least("src", "dst").alias("peer_a"), F.greatest("src", "dst").alias("peer_b"),
-                    F.hex(cut(m, 0, 8)).alias("initiator_spi"), "major",
-                    byte_at(m, 18).cast("int").alias("exchange"),
-                    (byte_at(m, 19).bitwiseAND(0x20) > 0).alias("is_response"),
-                    be_int(m, 20, 4).alias("msg_id"),
-                    F.when(stated > 0, stated).otherwise(size(m)).cast("long").alias("msg_length"),
-                    byte_at(m, 16).cast("int").alias("first_payload"), "message")
-            .withColumn("aggressive", (F.col("major") == 1) & (F.col("exchange") == 4)))
+    rows = bind(packets.filter(proto_class() == "ike"),
+                message=F.when(marked, cut(p, 4, size(p))).otherwise(p)).filter(size(m) >= 28)
+    rows = bind(rows, major=F.shiftright(byte_at(m, 17), 4).cast("int")).filter(F.col("major").isin(1, 2))
+    return bind(rows.select("capture_id", "packet_no", "ts_us", "src", "dst", "sport", "dport", "major", "message"),
+                peer_a=F.least("src", "dst"), peer_b=F.greatest("src", "dst"),
+                initiator_spi=F.hex(cut(m, 0, 8)), exchange=byte_at(m, 18).cast("int"),
+                is_response=byte_at(m, 19).bitwiseAND(0x20) > 0, msg_id=be_int(m, 20, 4),
+                msg_length=F.when(stated > 0, stated).otherwise(size(m)).cast("long"),
+                first_payload=byte_at(m, 16).cast("int"),
+                aggressive=(F.col("major") == 1) & (byte_at(m, 18) == 4))
 
 
 def ike_payloads(messages: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ should select ``payload`` away before any shuffle.
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wiretally.functions.binary import be_int, byte_at, cut, ipv4_text, ipv6_text, size
+from wiretally.functions.binary import be_int, bind, byte_at, cut, ipv4_text, ipv6_groups, ipv6_shorten, size
 from wiretally.functions.net import is_internal, proto_class, quic_version
 
 # Link types that carry a bare IP packet, VLAN tag types, IP types.
@@ -26,44 +26,46 @@ def decode_packets(frames: DataFrame) -> DataFrame:
         F.hex(cut(frame, 12, 2)).isin(*VLAN_TYPES),
         F.length(F.regexp_extract(F.hex(cut(frame, 12, size(frame))), f"^(?:(?:{tag})[0-9A-F]{{4}})+", 0)) / 8,
     ).otherwise(F.lit(0)).cast("int")
-    step1 = frames.withColumn("_tags", F.when(raw, F.lit(0)).otherwise(tags))
     ethertype = be_int(frame, F.lit(12) + F.col("_tags") * 4, 2)
     nibble = F.shiftright(byte_at(frame, 0), 4)
     version = (F.when(raw, F.when(nibble.isin(4, 6), nibble))
                .when(ethertype == ETHERTYPE_IPV4, F.lit(4)).when(ethertype == ETHERTYPE_IPV6, F.lit(6)))
-    step2 = (step1.withColumn("ip_version", version.cast("int")).filter(F.col("ip_version").isNotNull())
-             .withColumn("_ip", cut(frame, F.when(raw, F.lit(0)).otherwise(F.lit(14) + F.col("_tags") * 4),
-                                    size(frame)))
-             .filter(size("_ip") >= F.when(F.col("ip_version") == 4, 20).otherwise(40)))
+    df = bind(frames, _tags=F.when(raw, F.lit(0)).otherwise(tags))
+    df = bind(df, ip_version=version.cast("int"))
+    df = bind(df.filter(F.col("ip_version").isNotNull()),
+              _ip=cut(frame, F.when(raw, F.lit(0)).otherwise(F.lit(14) + F.col("_tags") * 4), size(frame)))
+    df = df.filter(size("_ip") >= F.when(F.col("ip_version") == 4, 20).otherwise(40))
     ip, v4 = F.col("_ip"), F.col("ip_version") == 4
-    stated = F.when(v4, be_int(ip, 2, 2)).otherwise(be_int(ip, 4, 2) + 40)
-    none_stated = F.when(v4, be_int(ip, 2, 2) == 0).otherwise(be_int(ip, 4, 2) == 0)
-    end = F.when(none_stated, size(ip)).otherwise(F.least(stated, size(ip)))
-    v6frag = ~v4 & (size(ip) >= 48) & (byte_at(ip, 6) == FRAGMENT_PROTO)
-    frag_no = F.when(v4, be_int(ip, 6, 2).bitwiseAND(0x1FFF)).when(v6frag, F.shiftright(be_int(ip, 42, 2), 3)).otherwise(0)
-    proto = (F.when(v4, byte_at(ip, 9))
-             .when(v6frag, F.when(frag_no == 0, byte_at(ip, 40)).otherwise(F.lit(FRAGMENT_PROTO)))
-             .otherwise(byte_at(ip, 6)))
-    head = F.when(v4, byte_at(ip, 0).bitwiseAND(15) * 4).when(v6frag, 48).otherwise(40)
-    step3 = step2.withColumns({
-        "src": F.when(v4, ipv4_text(ip, 12)).otherwise(ipv6_text(ip, 8)),
-        "dst": F.when(v4, ipv4_text(ip, 16)).otherwise(ipv6_text(ip, 24)),
-        "ip_proto": proto.cast("int"), "length": end.cast("int"),
-        "ttl": F.when(v4, byte_at(ip, 8)).otherwise(byte_at(ip, 7)).cast("int"),
-        "_first": frag_no == 0, "_v6frag": v6frag,
-        "_body": cut(ip, head, F.greatest(end - head, F.lit(0)))})
+    df = bind(df, _stated=F.when(v4, be_int(ip, 2, 2)).otherwise(be_int(ip, 4, 2)),
+              _proto=F.when(v4, byte_at(ip, 9)).otherwise(byte_at(ip, 6)),
+              _v6frag=~v4 & (size(ip) >= 48) & (byte_at(ip, 6) == FRAGMENT_PROTO))
+    v6frag = F.col("_v6frag")
+    df = bind(df, length=F.when(F.col("_stated") == 0, size(ip))
+              .otherwise(F.least(F.col("_stated") + F.when(v4, 0).otherwise(40), size(ip))).cast("int"),
+              _fragment=F.when(v4, be_int(ip, 6, 2).bitwiseAND(0x1FFF))
+              .when(v6frag, F.shiftright(be_int(ip, 42, 2), 3)).otherwise(0),
+              _head=F.when(v4, byte_at(ip, 0).bitwiseAND(15) * 4).when(v6frag, 48).otherwise(40))
+    first = F.col("_fragment") == 0
+    df = bind(df, ip_proto=F.when(v6frag, F.when(first, byte_at(ip, 40)).otherwise(F.lit(FRAGMENT_PROTO)))
+              .otherwise(F.col("_proto")).cast("int"),
+              _body=cut(ip, F.col("_head"), F.greatest(F.col("length") - F.col("_head"), F.lit(0))))
     body = F.col("_body")
-    udp = (F.col("ip_proto") == 17) & F.col("_first") & (size(body) >= 8)
-    tcp = (F.col("ip_proto") == 6) & F.col("_first") & (size(body) >= 20)
-    opaque = F.col("ip_proto").isin(50, 51) | F.col("_v6frag")
-    payload = (F.when(udp, cut(body, 8, size(body)))
-               .when(tcp, cut(body, F.shiftright(byte_at(body, 12), 4) * 4, size(body)))
-               .when(opaque, body).otherwise(F.lit(b"")))
-    return step3.select(
-        "capture_id", F.col("frame_no").alias("packet_no"), "ts_us", F.timestamp_micros("ts_us").alias("ts"),
-        "src", "dst", "ip_proto", F.when(udp | tcp, be_int(body, 0, 2)).cast("int").alias("sport"),
-        F.when(udp | tcp, be_int(body, 2, 2)).cast("int").alias("dport"), payload.alias("payload"), "ip_version",
-        "length", F.when(tcp, byte_at(body, 13)).otherwise(F.lit(0)).cast("int").alias("tcp_flags"), "ttl")
+    df = bind(df, _udp=(F.col("ip_proto") == 17) & first & (size(body) >= 8),
+              _tcp=(F.col("ip_proto") == 6) & first & (size(body) >= 20))
+    udp, tcp = F.col("_udp"), F.col("_tcp")
+    opaque = F.col("ip_proto").isin(50, 51) | v6frag
+    df = bind(df, _src6=F.when(~v4, ipv6_groups(ip, 8)), _dst6=F.when(~v4, ipv6_groups(ip, 24)))
+    df = bind(df, src=F.when(v4, ipv4_text(ip, 12)).otherwise(ipv6_shorten(F.col("_src6"))),
+              dst=F.when(v4, ipv4_text(ip, 16)).otherwise(ipv6_shorten(F.col("_dst6"))),
+              sport=F.when(udp | tcp, be_int(body, 0, 2)).cast("int"),
+              dport=F.when(udp | tcp, be_int(body, 2, 2)).cast("int"),
+              payload=F.when(udp, cut(body, 8, size(body)))
+              .when(tcp, cut(body, F.shiftright(byte_at(body, 12), 4) * 4, size(body)))
+              .when(opaque, body).otherwise(F.lit(b"")),
+              tcp_flags=F.when(tcp, byte_at(body, 13)).otherwise(F.lit(0)).cast("int"),
+              ttl=F.when(v4, byte_at(ip, 8)).otherwise(byte_at(ip, 7)).cast("int"))
+    return df.select("capture_id", F.col("frame_no").alias("packet_no"), "ts_us", F.timestamp_micros("ts_us").alias("ts"),
+                     "src", "dst", "ip_proto", "sport", "dport", "payload", "ip_version", "length", "tcp_flags", "ttl")
 
 
 def total_packets(packets: DataFrame) -> DataFrame:
@@ -96,7 +98,7 @@ def union_esp(packets: DataFrame) -> DataFrame:
     header is not added, although the structure test later takes it off.
     """
     kind, body = proto_class(), F.col("payload")
-    return (packets.withColumn("_kind", kind).filter(F.col("_kind").isin("esp", "esp_in_udp") & (size(body) >= 8))
+    return (bind(packets, _kind=kind).filter(F.col("_kind").isin("esp", "esp_in_udp") & (size(body) >= 8))
             .select("capture_id", "packet_no", "ts_us", be_int(body, 0, 4).alias("spi"),
                     be_int(body, 4, 4).alias("seq"), "src", "dst",
                     (size(body) + F.when(F.col("ip_version") == 4, 20).otherwise(40)).cast("long").alias("length"),
@@ -130,18 +132,17 @@ def tls_metadata(packets: DataFrame) -> DataFrame:
     p, n = F.col("payload"), size("payload")
     tls = (F.col("ip_proto") == 6) & (F.hex(cut(p, 0, 1)) == "16") & (n > 10)
     quic = (F.col("ip_proto") == 17) & quic_version("payload").isNotNull()
-    rows = (packets.withColumn("_tls", F.coalesce(tls, F.lit(False)))
-            .withColumn("_quic", F.coalesce(quic, F.lit(False)))
-            .filter(F.col("_tls") | F.col("_quic")))
+    rows = bind(packets, _tls=F.coalesce(tls, F.lit(False)), _quic=F.coalesce(quic, F.lit(False)))
+    rows = rows.filter(F.col("_tls") | F.col("_quic"))
     hello = F.col("_tls") & (byte_at(p, 5) == 1) & (n >= 45)
-    rows = rows.withColumn("_c", F.when(hello, F.lit(44) + byte_at(p, 43)))
+    rows = bind(rows, _c=F.when(hello, F.lit(44) + byte_at(p, 43)))
     # Two bytes of cipher length may be cut short at the end; what is there counts.
     cipher_bytes = F.coalesce(F.conv(F.hex(cut(p, F.col("_c"), 2)), 16, 10).cast("long"), F.lit(0))
-    rows = rows.withColumn("_cb", F.when(F.col("_c").isNotNull(), cipher_bytes))
-    rows = rows.withColumn("_m", F.col("_c") + 2 + F.col("_cb"))
-    rows = rows.withColumn("_e", F.when(F.col("_m") < n, F.col("_m") + 1 + byte_at(p, F.col("_m"))))
+    rows = bind(rows, _cb=F.when(F.col("_c").isNotNull(), cipher_bytes))
+    rows = bind(rows, _m=F.col("_c") + 2 + F.col("_cb"))
+    rows = bind(rows, _e=F.when(F.col("_m") < n, F.col("_m") + 1 + byte_at(p, F.col("_m"))))
     ext_len = F.coalesce(F.conv(F.hex(cut(p, F.col("_e"), 2)), 16, 10).cast("long"), F.lit(0))
-    rows = rows.withColumn("_end", F.least(n.cast("long"), F.col("_e") + 2 + ext_len))
+    rows = bind(rows, _end=F.least(n.cast("long"), F.col("_e") + 2 + ext_len))
 
     def step(acc, _):
         pos = acc["pos"]
@@ -157,7 +158,7 @@ def tls_metadata(packets: DataFrame) -> DataFrame:
     walked = F.when(F.col("_e").isNotNull(), F.aggregate(
         steps, F.struct((F.col("_e") + 2).alias("pos"), F.lit(0).cast("long").alias("count"),
                         F.lit(0).cast("long").alias("sni")), step))
-    rows = rows.withColumn("_x", walked)
+    rows = bind(rows, _x=walked)
     num = lambda c: F.coalesce(c, F.lit(0)).cast("double")
     keep = [c for c in packets.columns if c != "payload"]
     return rows.select(
