@@ -158,7 +158,7 @@ query("p2_class_counts", f"SELECT capture_id, {CLASS_SQL} AS proto_class, CAST(c
       ["packets_fx"])(pk.class_counts)
 query("a8_ipsec_present", f"SELECT capture_id, bool_or({CLASS_SQL} <> 'other') AS ipsec_present FROM packets_fx GROUP BY 1",
       ["packets_fx"])(pk.ipsec_present)
-query("u1_union_esp", f"""SELECT packet_no, CAST(3333116357 AS BIGINT) AS spi, CAST(7 AS BIGINT) AS seq, CAST(28 AS BIGINT) AS length,
+query("u1_union_esp", f"""SELECT packet_no, CAST(3333444037 AS BIGINT) AS spi, CAST(7 AS BIGINT) AS seq, CAST(28 AS BIGINT) AS length,
       {CLASS_SQL} = 'esp_in_udp' AS udp_encapsulated FROM packets_fx
     WHERE {CLASS_SQL} IN ('esp', 'esp_in_udp') AND hex(payload) = 'C6B051C500000007'
     UNION ALL SELECT packet_no, 0, 1, 28, false FROM packets_fx WHERE {CLASS_SQL} = 'esp' AND hex(payload) <> 'C6B051C500000007'""",

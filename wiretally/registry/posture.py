@@ -1 +1,162 @@
-"""Queries."""
+"""Inference and posture queries."""
+
+from pyspark.sql import functions as F
+
+from wiretally import constants as C
+from wiretally.operators import sa
+from wiretally.plans import analysis, inference, posture
+from wiretally.registry.base import query
+from wiretally.registry.features import STRUCTURE_SQL
+
+RULES = posture.load_pack("baseline")
+CNSA = posture.load_pack("cnsa2")
+
+
+def with_conf(sas):
+    """The SA view gives one confidence for all known fields."""
+    return sas.withColumns({f"{f}_conf": F.when(F.col(f).isNotNull(), F.col("conf")) for f in posture.RULE_FIELDS})
+
+
+def _sql_conf(rule, exact=False):
+    names = posture._named_fields(rule["when"], exact)
+    confs = [f"CASE WHEN {f} IS NOT NULL THEN conf END" for f in names]
+    if "traffic" in rule["when"]:
+        confs.append("traffic_confidence")
+    return f"coalesce(round(least({', '.join(confs)}, NULL), 4), 0.5)" if confs else "0.5"
+
+
+def findings_sql(rules, exact=False):
+    return " UNION ALL ".join(
+        f"SELECT analysis_id, spi, '{r['id']}' AS rule_id, '{r['severity']}' AS severity, CAST({r['likelihood']} AS DOUBLE) AS likelihood, "
+        f"CAST({_sql_conf(r, exact)} AS DOUBLE) AS confidence FROM sa_fx WHERE {r['when']}" for r in rules)
+
+
+COLS = ["analysis_id", "spi", "rule_id", "severity", "likelihood", "confidence"]
+query("j1_evaluate_rules", findings_sql(RULES), ["sa_fx"])(lambda s: posture.evaluate_rules(with_conf(s), RULES).select(*COLS))
+query("i14_rule_predicates_cnsa2", findings_sql(CNSA), ["sa_fx"])(lambda s: posture.evaluate_rules(with_conf(s), CNSA).select(*COLS))
+query("i15_finding_confidence_exact", findings_sql(RULES, True), ["sa_fx"])(
+    lambda s: posture.evaluate_rules(with_conf(s), RULES, exact_fields=True).select(*COLS))
+
+query("i14_rule_predicates", "SELECT analysis_id, spi, " + ", ".join(f"({r['when']}) AS \"{r['id']}\"" for r in RULES) + " FROM sa_fx", ["sa_fx"])(
+    lambda s: s.select("analysis_id", "spi", *[c.alias(k) for k, c in posture.rule_predicates(RULES).items()]))
+
+WEIGHT = "CASE severity WHEN 'low' THEN 1.0::DOUBLE WHEN 'medium' THEN 3 WHEN 'high' THEN 6 WHEN 'critical' THEN 10 ELSE 0 END"
+# Half-to-even at two places on the exact decimal sum.
+SCORE_SQL = f"""risk AS (SELECT {{by}} AS analysis_id, sum(CAST({WEIGHT} * likelihood * confidence AS DECIMAL(18,8))) AS r FROM {{src}} GROUP BY 1),
+    scored AS (SELECT analysis_id, CAST((floor(r*100) + CASE WHEN r*100 - floor(r*100) > 0.5 OR (r*100 - floor(r*100) = 0.5 AND floor(r*100) % 2 = 1) THEN 1 ELSE 0 END) AS DOUBLE)/100 AS risk_score,
+      CAST(trunc(greatest(0, 100 - r*4)) AS BIGINT) AS security_score FROM risk)"""
+GRADE = "CASE WHEN {0} >= 90 THEN 'A' WHEN {0} >= 80 THEN 'B' WHEN {0} >= 70 THEN 'C' WHEN {0} >= 55 THEN 'D' WHEN {0} IS NOT NULL THEN 'E' END"
+FEW = "per_sa AS (SELECT concat(analysis_id, ':', spi) AS analysis_id, severity, likelihood, confidence FROM f)"
+query("a15_posture_score", f"WITH f AS ({findings_sql(RULES)}), {FEW}, {SCORE_SQL.format(by='analysis_id', src='per_sa')} SELECT *, {GRADE.format('security_score')} AS grade FROM scored",
+      ["sa_fx"])(lambda s: posture.posture_score(posture.evaluate_rules(with_conf(s), RULES).withColumn(
+          "analysis_id", F.concat_ws(":", "analysis_id", F.col("spi").cast("string")))))
+query("a16_ai_confidence", "SELECT analysis_id, round(max(traffic_confidence), 4) AS ai_confidence FROM sa_fx GROUP BY 1", ["sa_fx"])(posture.ai_confidence)
+
+
+@query("a17_threat_matrix", """WITH g AS (SELECT analysis_id, b AS bucket, s AS impact FROM (SELECT DISTINCT analysis_id FROM findings_fx),
+      range(1, 6) t(b), (VALUES ('info'), ('low'), ('medium'), ('high'), ('critical')) v(s)),
+    f AS (SELECT analysis_id, least(5, greatest(1, CAST(trunc(likelihood*5) AS INT) + 1)) AS bucket, severity AS impact, count(*) AS n,
+      array_to_string(list_sort(list(DISTINCT rule_id)), ',') AS rules FROM findings_fx GROUP BY 1, 2, 3)
+    SELECT g.analysis_id, g.bucket, g.impact, CAST(coalesce(n, 0) AS BIGINT) AS findings, coalesce(rules, '') AS rules
+    FROM g LEFT JOIN f USING (analysis_id, bucket, impact)""", ["findings_fx"])
+def _a17(f):
+    return posture.threat_matrix(f).withColumn("rules", F.array_join("rules", ","))
+
+
+query("i16_compliance", """SELECT analysis_id, spi, CASE WHEN ok THEN 'pass' ELSE 'fail' END AS rfc_8221, CASE WHEN ok THEN 'pass' ELSE 'fail' END AS rfc_8247,
+      CASE WHEN ok AND dh NOT IN ('MODP-1024', 'MODP-1536') THEN 'pass' ELSE 'fail' END AS nist_800_77r1,
+      CASE WHEN enc LIKE '%AES-GCM%' AND enc LIKE '%256%' AND dh IN ('ECP-384', 'ECP-521') THEN 'pass' ELSE 'fail' END AS cnsa_2_0
+    FROM (SELECT *, coalesce(dh_group, '') AS dh, coalesce(enc, '') NOT LIKE '%DES%' AND coalesce(integ, '') NOT LIKE '%SHA1%' AS ok FROM sa_fx)""", ["sa_fx"])(
+    lambda s: posture.compliance(s).select("analysis_id", "spi", "rfc_8221", "rfc_8247", "nist_800_77r1", "cnsa_2_0"))
+query("i17_exposure", """SELECT analysis_id, spi, concat_ws(',', CASE WHEN mode = 'transport' THEN 'endpoints' END, CASE WHEN ike_version = 1 THEN 'ikev1_aggressive' END,
+      'traffic_fingerprint') AS exposure, traffic_top AS exposed_class, round(traffic_confidence, 6) AS exposure_confidence FROM sa_fx""", ["sa_fx"])(
+    lambda s: posture.exposure(s).select("analysis_id", "spi", F.array_join("exposure", ",").alias("exposure"), "exposed_class", "exposure_confidence"))
+
+SNIPPETS_SQL = ", ".join("('%s', '%s')" % (k, v.replace("'", "''")) for k, v in C.REMEDIATION.items())
+query("i18_remediation", f"""WITH f AS (SELECT rule_id, count(*) AS n FROM findings_fx GROUP BY 1)
+    SELECT f.rule_id, CAST(n AS BIGINT) AS n, coalesce(s, '{C.REMEDIATION_DEFAULT}') AS snippet FROM f LEFT JOIN (VALUES {SNIPPETS_SQL}) v(r, s) ON r = rule_id""", ["findings_fx"])(
+    lambda f: posture.remediation(f).groupBy("rule_id", "snippet").agg(F.count(F.lit(1)).alias("n")))
+
+TAGS = "CASE WHEN {0} IS NULL THEN 'unknown' ELSE '{1}' END"
+query("i1_cipher_mode", f"""WITH {STRUCTURE_SQL} SELECT capture_id, spi, CASE WHEN sure THEN 'GCM' END AS enc, CASE WHEN sure THEN 'inferred' ELSE 'unknown' END AS tag,
+      CASE WHEN sure THEN round(consistency, 4) ELSE 0 END AS confidence FROM (SELECT *, consistency >= 0.95 AND cipher_mode = 'GCM' AS sure FROM structure)""", ["esp_fx"])(
+    lambda e: sa.esp_structure(e).withColumn("t", inference.cipher_mode()).select("capture_id", "spi", F.col("t.value").alias("enc"), "t.tag", "t.confidence"))
+query("i2_integrity", f"""WITH {STRUCTURE_SQL} SELECT capture_id, spi, CASE WHEN consistency >= 0.95 AND cipher_mode = 'GCM' THEN 'AEAD' END AS integ FROM structure""", ["esp_fx"])(
+    lambda e: sa.esp_structure(e).withColumn("t", inference.integrity()).select("capture_id", "spi", F.col("t.value").alias("integ")))
+query("i3_key_size", """SELECT session_id, CAST(CASE WHEN esp_proposal LIKE '%-256%' THEN 256 WHEN esp_proposal LIKE '%-128%' THEN 128 END AS BIGINT) AS key_bits,
+      CASE WHEN esp_proposal LIKE '%-256%' OR esp_proposal LIKE '%-128%' THEN CAST(0.7 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS confidence
+    FROM (SELECT session_id, replace(replace(esp_proposal, 'aes256', 'AES-256'), 'aes128', 'AES-128') AS esp_proposal FROM sessions_fx)""", ["sessions_fx"])(
+    lambda s: s.withColumn("ike_enc", F.replace(F.replace("esp_proposal", F.lit("aes256"), F.lit("AES-256")), F.lit("aes128"), F.lit("AES-128")))
+    .withColumn("t", inference.key_size()).select("session_id", F.col("t.value").alias("key_bits"), "t.confidence"))
+query("i4_nat_t", "SELECT capture_id, spi, bool_or(udp_encapsulated) AS nat_t, 'observed' AS tag FROM esp_fx GROUP BY 1, 2", ["esp_fx"])(
+    lambda e: sa.sa_tracks(e).withColumn("t", inference.nat_t()).select("capture_id", "spi", F.col("t.value").alias("nat_t"), "t.tag"))
+query("i7_tunnel_mode", """SELECT doc_id, CASE WHEN p >= 0.5 THEN 'tunnel' ELSE 'transport' END AS mode, round(p, 4) AS confidence
+    FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 0.7*p1 + 0.3*0.4 ELSE p1 END AS p FROM scored_fx)""", ["scored_fx"])(
+    lambda s: s.withColumn("t", inference.tunnel_mode(F.col("p1"), F.when(F.col("doc_id") % 2 == 0, 0.4))).select("doc_id", F.col("t.value").alias("mode"), "t.confidence"))
+query("i8_gate_on_rekey", """SELECT doc_id, CASE WHEN rekey_count > 0 THEN label = 1 END AS pfs, CASE WHEN rekey_count > 0 THEN 'inferred' ELSE 'unknown' END AS tag FROM scored_fx""", ["scored_fx"])(
+    lambda s: s.withColumn("t", inference.gate_on_rekey(F.struct((F.col("label") == 1).alias("value"), F.lit("inferred").alias("tag"), F.col("p1").alias("confidence"))))
+    .select("doc_id", F.col("t.value").alias("pfs"), "t.tag"))
+
+
+def _probs(s):
+    return s.withColumn("probs", F.array((F.col("p1") * 0.5), (1 - F.col("p1")) * 0.7, F.col("p1") * 0.5 + (1 - F.col("p1")) * 0.3))
+
+
+PROBS = "(SELECT doc_id, [('a', p1*0.5), ('b', (1-p1)*0.7), ('c', p1*0.5 + (1-p1)*0.3)] AS pr FROM scored_fx)"
+CLASSES = ("a", "b", "c")
+
+
+@query("i11_conformal_sets", f"""WITH l AS (SELECT doc_id, unnest(pr)[1] AS c, unnest(pr)[2] AS p FROM {PROBS}),
+    g AS (SELECT doc_id, arg_max(c, (p, -ascii(c))) AS prediction, max(p) AS p_top, array_to_string(list_sort(list(c) FILTER (WHERE p >= 1.0 - 0.6)), ',') AS s FROM l GROUP BY 1)
+    SELECT doc_id, prediction, round(p_top, 6) AS p_top, coalesce(s, prediction) AS prediction_set,
+      round(p_top / greatest(1, len(string_split(coalesce(s, prediction), ','))), 6) AS set_confidence FROM g""", ["scored_fx"])
+def _i11(s):
+    out = inference.conformal_sets(_probs(s), 0.6, CLASSES)
+    return out.select("doc_id", "prediction", "p_top", F.array_join("prediction_set", ",").alias("prediction_set"), "set_confidence")
+
+
+query("i12_aps_sets", f"""WITH l AS (SELECT doc_id, unnest(pr)[1] AS c, unnest(pr)[2] AS p FROM {PROBS}),
+    r AS (SELECT *, coalesce(sum(p) OVER (PARTITION BY doc_id ORDER BY p DESC, c ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM l)
+    SELECT doc_id, string_agg(c, ',' ORDER BY p DESC, c) AS aps_set FROM r WHERE before < 1.0 - 0.3 GROUP BY 1""", ["scored_fx"])(
+    lambda s: inference.aps_sets(_probs(s), 0.3, CLASSES).select("doc_id", F.array_join("aps_set", ",").alias("aps_set")))
+
+VOTE_SQL = """v AS (SELECT spi, pred, count(*) AS n, avg(p) AS p, min(win) AS first FROM windows_fx GROUP BY 1, 2)"""
+query("a13_majority_vote", f"WITH {VOTE_SQL} SELECT spi, arg_max(pred, (n, -first)) AS traffic_top, round(arg_max(p, (n, -first)), 4) AS traffic_confidence FROM v GROUP BY 1", ["windows_fx"])(
+    inference.aggregate_votes)
+query("a14_union_of_sets", "SELECT spi, string_agg(DISTINCT pred, ',' ORDER BY pred) AS conformal_set FROM windows_fx GROUP BY 1", ["windows_fx"])(
+    lambda w: inference.union_of_sets(w.withColumn("prediction_set", F.array("pred"))).withColumn("conformal_set", F.array_join("conformal_set", ",")))
+
+# One statement for the whole ESP slice: structure, lifetime, replay, rules, score.
+SLICE_SQL = f"""WITH {STRUCTURE_SQL},
+    tr AS (SELECT capture_id, spi, min(ts_us) AS f, max(ts_us) AS l, bool_or(udp_encapsulated) AS nat, bool_or(seq > 4294967295) AS esn0 FROM esp_fx GROUP BY 1, 2),
+    sq AS (SELECT capture_id, spi, seq, lag(seq) OVER (PARTITION BY capture_id, spi ORDER BY packet_no, seq) AS prev FROM esp_fx),
+    rp AS (SELECT capture_id, spi, count(*) FILTER (WHERE prev - seq > 2147483647) AS resets FROM sq GROUP BY 1, 2),
+    flat AS (SELECT capture_id AS analysis_id, spi, CASE WHEN consistency >= 0.95 AND cipher_mode = 'GCM' THEN 'AES-GCM-16' END AS enc,
+      CASE WHEN consistency >= 0.95 AND cipher_mode = 'GCM' THEN round(consistency, 4) END AS enc_conf,
+      CASE WHEN consistency >= 0.95 AND cipher_mode = 'GCM' THEN 'AEAD' END AS integ,
+      CASE WHEN l - f >= 1000000 THEN CAST(round_even((l - f)/1e6, 0) AS BIGINT) END AS rekey_interval_s,
+      CASE WHEN resets > 0 THEN 0 END AS replay_window, CASE WHEN esn0 THEN true END AS esn,
+      NULL::VARCHAR AS dh_group, NULL::BOOLEAN AS pfs, NULL::VARCHAR AS mode, NULL::INT AS key_bits, NULL::INT AS ike_version, 0.0 AS traffic_confidence
+      FROM structure JOIN tr USING (capture_id, spi) JOIN rp USING (capture_id, spi)),
+    hits AS (""" + " UNION ALL ".join(
+    f"SELECT analysis_id, spi, '{r['id']}' AS rule_id, '{r['severity']}' AS severity, {r['likelihood']} AS likelihood, "
+    + ("coalesce(enc_conf, 0.5)" if "enc" in r["when"] and "traffic" not in r["when"] else
+       "CASE WHEN true THEN 1.0 END" if any(x in r["when"] for x in ("rekey_interval_s", "replay_window", "esn")) else
+       "coalesce(CASE WHEN integ IS NOT NULL THEN enc_conf END, 0.5)" if "integ" in r["when"] else "0.5")
+    + f" AS confidence FROM flat WHERE {r['when']}" for r in RULES) + ")"
+
+query("i9_sa_evidence", SLICE_SQL + " SELECT analysis_id, spi, enc, enc_conf, integ, rekey_interval_s, CAST(replay_window AS BIGINT) AS replay_window, esn FROM flat", ["esp_fx"])(
+    lambda e: analysis.analyse_esp(e, RULES)["sas"].select("analysis_id", "spi", "enc", "enc_conf", "integ", "rekey_interval_s", "replay_window", "esn"))
+query("entry_esp_posture", SLICE_SQL + f""", padded AS (SELECT analysis_id, severity, likelihood, confidence FROM hits
+      UNION ALL SELECT DISTINCT analysis_id, 'info', 0, 0 FROM flat), {SCORE_SQL.format(by='analysis_id', src='padded')}
+    SELECT *, {GRADE.format('security_score')} AS grade FROM scored""", ["esp_fx"])(
+    lambda e: analysis.analyse_esp(e, RULES)["posture"])
+
+
+@query("i19_report_context", views=["sa_fx"])
+def _i19(s):
+    sas = with_conf(s)
+    out = posture.report_context(posture.evaluate_rules(sas, RULES), sas)
+    return out.select("analysis_id", "risk_score", "security_score", "grade", "ai_confidence", F.to_json("severity_counts").alias("severity_counts"),
+                      F.to_json("top_findings").alias("top_findings"), F.to_json("threat_matrix").alias("threat_matrix"))
+
