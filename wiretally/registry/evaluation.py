@@ -221,7 +221,7 @@ FLOOR = "CASE task WHEN 'mode' THEN 0.9 WHEN 'cipher' THEN 0.95 WHEN 'integ' THE
 query("m8_promote", f"WITH {METRICS_SQL} SELECT doc_id, task, macro_f1 >= {FLOOR} AND ece <= 0.08 AND coverage >= 0.85 AS promoted FROM met", ["scored_fx"])(
     lambda s: mt.promote(_metrics(s), mt.HEAD_PROMOTION).select("doc_id", "task", "promoted"))
 
-REPORT_SQL = f"""{METRICS_SQL}, reg AS (SELECT task, arg_max(version, doc_id) AS version FROM met WHERE doc_id % 2 = 0 GROUP BY 1),
+REPORT_SQL = f"""{METRICS_SQL}, reg AS (SELECT task, arg_max(version, doc_id) AS version FROM met WHERE macro_f1 >= 0.9 GROUP BY 1),
     att AS (SELECT task, arg_max(macro_f1, doc_id) AS macro_f1, arg_max(ece, doc_id) AS ece, arg_max(coverage, doc_id) AS coverage FROM met GROUP BY 1),
     rep AS (SELECT task, coalesce(reg.version, 'untrained') AS version, CASE WHEN met.macro_f1 IS NOT NULL THEN 'promoted' ELSE 'not_promoted' END AS status,
       coalesce(met.macro_f1, att.macro_f1) AS macro_f1, coalesce(met.ece, att.ece) AS ece, coalesce(met.coverage, att.coverage) AS coverage
@@ -230,7 +230,7 @@ REPORT_SQL = f"""{METRICS_SQL}, reg AS (SELECT task, arg_max(version, doc_id) AS
 
 def _report(s):
     m = _metrics(s)
-    reg = m.filter("doc_id % 2 = 0").groupBy("task").agg(F.max_by("version", "doc_id").alias("version"))
+    reg = m.filter("macro_f1 >= 0.9").groupBy("task").agg(F.max_by("version", "doc_id").alias("version"))
     att = m.groupBy("task").agg(*[F.max_by(c, "doc_id").alias(c) for c in ("macro_f1", "ece", "coverage")])
     return mt.metrics_report(reg, m.drop("doc_id"), att)
 
