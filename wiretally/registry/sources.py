@@ -1 +1,64 @@
-"""Queries."""
+"""Source and sink queries: the row work of readers and writers on data derived from the tables."""
+
+from pyspark.sql import functions as F
+
+from wiretally.functions.net import spi_text
+from wiretally.operators import evidence as ev
+from wiretally.plans import posture
+from wiretally.registry.base import query
+from wiretally.registry.packets import FEATURES_SQL, _frames, _h
+from wiretally.registry.posture import RULES, findings_sql, with_conf
+from wiretally.sources import captures, tables
+
+
+def _pcap_files(spark, d):
+    """Every frame of the events table as a little pcap file of two records."""
+    fr = _frames(spark, d).withColumn("_f", F.hex("frame"))
+    head = F.concat(F.lit("A1B2C3D4" + "00020004" + "00000000" * 2 + "00040000"), _h(F.col("linktype"), 8))
+    n = (F.length("_f") / 2).cast("long")
+    rec = lambda extra: F.concat(_h(F.floor(F.col("ts_us") / 1_000_000) + extra, 8), _h(F.pmod("ts_us", F.lit(1_000_000)), 8), _h(n, 8), _h(n, 8), "_f")
+    return fr.select(F.col("frame_no").cast("string").alias("capture_id"), F.concat(F.lit("/x/"), F.col("frame_no").cast("string")).alias("path"),
+                     F.unhex(F.concat(head, rec(0), rec(1))).alias("content"))
+
+
+query("s1_split_frames", """SELECT CAST(event_id AS VARCHAR) AS capture_id, n AS frame_no, event_id*1000 + n*1000000 AS ts_us,
+      CAST(CASE WHEN event_id % 12 = 0 THEN 101 ELSE 1 END AS BIGINT) AS linktype FROM events, range(2) r(n)""")(
+    lambda spark, d: captures.split_frames(_pcap_files(spark, d)).select("capture_id", "frame_no", "ts_us", "linktype"))
+query("s4_capture_catalog", "SELECT text AS content_text, min(doc_id) AS first_doc, CAST(octet_length(encode(text)) AS BIGINT) AS bytes, concat(sha256(text), '.pcapng') AS stored_name FROM documents GROUP BY text", ["documents"])(
+    lambda docs: captures.capture_catalog(docs.select(F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("path"), F.encode("text", "utf-8").alias("content")))
+    .select(F.col("path").cast("long").alias("first_doc"), "bytes", "stored_name").join(
+        docs.select(F.col("doc_id").alias("first_doc"), F.col("text").alias("content_text")), "first_doc"))
+query("u5_merge_parts", """WITH f AS (SELECT user_id AS session_id, event_id % 3 AS part_no, row_number() OVER (PARTITION BY user_id, event_id % 3 ORDER BY event_id) - 1 AS frame_no, event_id FROM events)
+    SELECT session_id, part_no, frame_no, row_number() OVER (PARTITION BY session_id ORDER BY part_no, frame_no) - 1 AS packet_no FROM f""", ["events"])(
+    lambda e: captures.merge_parts(_parts(e)).select("session_id", "part_no", "frame_no", "packet_no"))
+
+
+def _parts(e):
+    from wiretally.operators import scan
+    rows = e.select(F.col("user_id").alias("session_id"), (F.col("event_id") % 3).alias("part_no"), "event_id", F.lit(1).cast("long").alias("one"))
+    return scan.running(rows, ["session_id", "part_no"], ["event_id"], {"n": ("sum", "one")}, width=100_000).withColumn("frame_no", F.col("n") - 1)
+
+
+query("s10_findings_csv", f"""WITH f AS ({findings_sql(RULES)}), m(rule_id, title, category, refs, fix) AS (VALUES """ + ", ".join(
+    "('%s', '%s', '%s', '%s', '%s')" % tuple(str(x).replace("'", "''") for x in (r["id"], r["title"], r["category"], "; ".join(r["refs"]), r["fix"])) for r in RULES) + """)
+    SELECT rule_id, title, category, severity, likelihood, confidence, refs, fix FROM f JOIN m USING (rule_id)""", ["sa_fx"])(
+    lambda s: tables.findings_csv(posture.evaluate_rules(with_conf(s), RULES)))
+query("s12_new_alerts", "SELECT DISTINCT user_id AS id FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)", ["events", "customer"])(
+    lambda e, c: tables.new_alerts(e.select(F.col("user_id").alias("id"), "event_type"), c.filter("c_acctbal < 0").select(F.col("c_custkey").alias("id"))).select("id"))
+
+
+@query("s13_report_tables", """SELECT concat('an_', o_orderkey, '-0x', lpad(lower(to_hex(o_custkey)), 8, '0')) AS sa_id, o_orderkey % 7 AS t0 FROM orders""", ["orders"])
+def _s13(o):
+    doc = F.to_json(F.struct(F.concat(F.lit("an_"), F.col("o_orderkey").cast("string")).alias("analysis_id"), F.lit(80.0).alias("security_score"),
+                             F.array(F.struct(spi_text("o_custkey").alias("spi"))).alias("sas"),
+                             F.array(F.struct(spi_text("o_custkey").alias("sa_id"), (F.col("o_orderkey") % 7).cast("double").alias("t0"))).alias("traffic_windows")))
+    reports = o.select(F.from_json(doc, tables.REPORT_SCHEMA).alias("r")).select("r.*")
+    parts = tables.report_tables(reports)
+    return parts["sa"].select(F.col("id").alias("sa_id")).join(parts["flow_window"].select("sa_id", F.col("t0").cast("long").alias("t0")), "sa_id")
+
+
+query("s14_import_domains", f"""WITH o AS (SELECT domain AS name, arg_min(label, row_no) AS label, arg_min(scenario_id, row_no) AS scenario_id, split_part(domain, '.', 1) AS lab FROM domains_fx GROUP BY domain)
+    SELECT CAST(label AS BIGINT) AS label, scenario_id, {FEATURES_SQL}, CAST(0 AS DOUBLE) AS qps FROM o""", ["domains_fx"])(tables.import_domains)
+query("s15_provenance", """SELECT session_id, concat('/captures/', session_id) AS path, sha256(session_id) AS sha256, 'lab' AS source, esp_packets, ike_packets FROM sessions_fx
+    WHERE esp_packets >= 20 AND ike_packets >= 1""", ["sessions_fx"])(
+    lambda s: captures.provenance(s.select("session_id", F.concat(F.lit("/captures/"), "session_id").alias("path"), F.sha2("session_id", 256).alias("sha256")), ev.session_gate(s)))
