@@ -286,7 +286,7 @@ def anchors(points: DataFrame, keys, ts: str, length: int, max_points: int = 2_0
     has_hot = bool(hot.head(1))
     small = slim.join(hot, keys, "left_anti") if has_hot else slim
     fields = slim.schema
-    found = (small.distinct().repartition(*keys).sortWithinPartitions(*keys, ts)
+    found = (small.repartition(*keys).sortWithinPartitions(*keys, ts)
              .mapInPandas(_anchors_of_sorted(keys, ts, length), schema=fields))
     if has_hot:
         big = slim.join(hot, keys, "left_semi").distinct()
