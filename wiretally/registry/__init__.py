@@ -5,4 +5,4 @@ text sits next to it.
 """
 
 from wiretally.registry.base import ORACLES, QUERIES  # noqa: F401
-from wiretally.registry import features, ike, packets, posture, evaluation, readmodels, threats, models, sources  # noqa: F401
+from wiretally.registry import features, ike, packets, posture, evaluation, readmodels, threats, models, sources, streams  # noqa: F401

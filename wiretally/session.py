@@ -19,14 +19,12 @@ def local_session(cores="*", name="wiretally", **conf) -> SparkSession:
     return builder.getOrCreate()
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and continue from there.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The reliable checkpoint folder of the session.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; a
-    machine-local folder is used only when a session (a test) names none, and
-    then only on a local master.
+    It is the one the cluster names in ``spark.checkpoint.dir``; a machine-local
+    folder is used only when a session on a local master (a test) names none.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
@@ -35,4 +33,10 @@ def stage(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a shared folder")
             folder = tempfile.mkdtemp(prefix="wiretally-checkpoint-")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the checkpoint folder once and continue from there."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
