@@ -62,3 +62,45 @@ query("s14_import_domains", f"""WITH o AS (SELECT domain AS name, arg_min(label,
 query("s15_provenance", """SELECT session_id, concat('/captures/', session_id) AS path, sha256(session_id) AS sha256, 'lab' AS source, esp_packets, ike_packets FROM sessions_fx
     WHERE esp_packets >= 20 AND ike_packets >= 1""", ["sessions_fx"])(
     lambda s: captures.provenance(s.select("session_id", F.concat(F.lit("/captures/"), "session_id").alias("path"), F.sha2("session_id", 256).alias("sha256")), ev.session_gate(s)))
+
+
+# --- round trips through the sinks ------------------------------------------
+
+def _folder(spark):
+    import uuid
+    from wiretally.session import checkpoint_folder
+    return f"{checkpoint_folder(spark)}/sink-{uuid.uuid4().hex}"
+
+
+@query("s8_features_round_trip", "SELECT spi, capture_id, CAST(count(*) AS BIGINT) AS packet_count FROM esp_fx GROUP BY 1, 2", ["esp_fx"])
+def _s8(esp):
+    from wiretally.operators import sa
+    folder = _folder(esp.sparkSession)
+    tables.write_features(sa.sa_profile(esp).drop("src", "dst"), folder, "capture_id")
+    return tables.read_features(esp.sparkSession, folder).select("spi", "capture_id", "packet_count")
+
+
+@query("s9_report_round_trip", "SELECT analysis_id, CAST(count(*) AS BIGINT) AS findings FROM (" + findings_sql(RULES) + ") GROUP BY 1", ["sa_fx"])
+def _s9(s):
+    sas = with_conf(s)
+    found = posture.evaluate_rules(sas, RULES)
+    folder = _folder(s.sparkSession)
+    tables.write_report(posture.report_context(found, sas), folder, found, sas)
+    return s.sparkSession.read.json(f"{folder}/findings").groupBy("analysis_id").agg(F.count(F.lit(1)).alias("findings"))
+
+
+@query("s11_labels_round_trip", """SELECT session_id, profile, CASE WHEN esp_proposal LIKE '%gcm%' THEN 'GCM' WHEN esp_proposal LIKE '%cbc%' THEN 'CBC' END AS cipher, traffic_type AS traffic FROM sessions_fx""", ["sessions_fx"])
+def _s11(s):
+    folder = _folder(s.sparkSession)
+    tables.write_labels(ev.proposal_labels(s).select("session_id", "profile", "cipher", "traffic"), folder)
+    return s.sparkSession.read.option("header", "true").schema("session_id string, profile string, cipher string, traffic string").csv(folder)
+
+
+@query("s5_manifests_round_trip", "SELECT session_id, profile, mode, CAST(key_bits AS BIGINT) AS key_bits, pfs FROM sessions_fx", ["sessions_fx"])
+def _s5(s):
+    """Manifests as JSON documents, one per line of the files Spark writes."""
+    doc = s.select("session_id", "profile", "traffic_type", F.struct("mode", "key_bits", "pfs").alias("labels"))
+    folder = _folder(s.sparkSession)
+    doc.write.json(folder)
+    read = s.sparkSession.read.schema(tables.MANIFEST_SCHEMA).json(folder)
+    return read.select("session_id", "profile", "labels.mode", "labels.key_bits", "labels.pfs")
