@@ -1,6 +1,7 @@
 """Token counts of whole texts with a public tokenizer; huge texts in overlapping chunks that are spliced."""
 
 import json
+import re
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -8,6 +9,10 @@ from pyspark.sql import functions as F
 
 from wiretally.llm.common import text_bytes
 
+#: Characters of which one that a text lacks marks its cuts.
+_MARKS = "\0\ue000\ue001\uf8ff"
+_RUN = re.compile(r"\s ")
+
 
 class Counter:
     """Counts tokens as the tokenizer gives them for a whole text.
@@ -45,13 +50,13 @@ class Counter:
         """
         if not self.cuts:
             return len(self.tokenizer.encode(text, add_special_tokens=False))
-        parts = text.split(" ")
-        pieces = [parts[0]]
-        for before, part in zip(parts, parts[1:]):
-            if before and not before[-1].isspace():
-                pieces.append(" " + part)
-            else:
-                pieces[-1] += " " + part
+        mark = next((m for m in _MARKS if m not in text), None)
+        if mark is None:
+            return len(self.tokenizer.encode(text, add_special_tokens=False))
+        marked = text.replace(" ", mark + " ")
+        if _RUN.search(text):
+            marked = re.sub(rf"(?<=\s){mark}", "", marked)
+        pieces = marked.split(mark)
         new = list(set(pieces).difference(self.known))
         if new:
             if len(self.known) > 1_000_000:

@@ -1,9 +1,11 @@
 """Toxicity by compression: windows of text against a toxic and an ordinary zstandard dictionary."""
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import xxhash
 import zstandard as zs
 from pyspark.sql import DataFrame
@@ -161,8 +163,6 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 50_000, window: int
 
 def _count_words(batches):
     """Document counts of words, by label, summed over a task's rows as far as memory allows."""
-    import pandas as pd
-
     def out(counts):
         return pd.DataFrame([(w, k, n) for (w, k), n in counts.items()], columns=["word", "kind", "n"])
     counts = {}
@@ -178,8 +178,6 @@ def _count_words(batches):
 
 
 def _measure(model, tried):
-    import pandas as pd
-
     def run(batches):
         scorer = Scorer(model)
         for b in batches:
@@ -216,16 +214,10 @@ def digest(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFr
     return found.select("doc_id", (~learnable(F.col("doc_id"))).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
+def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     """``docs`` without rows that score ``threshold`` or more; columns are unchanged."""
-    model = train(docs, labels)
-
-    def toxic(batches):
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = Scorer(model)
         for raw in batches:
-            yield raw.map(scorer.score)
-    from collections.abc import Iterator
-
-    import pandas as pd
-    toxic.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return docs.where(F.pandas_udf(toxic, "double")(text_bytes()) < threshold)
+            yield raw.map(scorer.score).astype("float64")
+    return docs.where(F.pandas_udf(score, "double")(text_bytes()) < threshold)
