@@ -307,29 +307,34 @@ def _count(raw):
 def _least_ids(length, batch):
     def run(table):
         """Answers per group: the least doc_id of each string of each of its windows, as one number where they agree."""
-        family, lists, strings, owners, held = Family(length), [], [], [], 0
+        family, lists, known = Family(length), [], {}
         for data in table["_sfx_data"].to_pylist():
             sizes, least, text = _opened(data)
-            counts = sizes - length + 1
-            own = _strings(text, np.cumsum(sizes) - sizes, counts, length)
-            lists.append((sizes, text))
-            strings.append(own)
-            owners.append(np.repeat(least, counts))
-            held += len(own)
-            if held >= batch:
-                family.add(np.concatenate(strings), np.concatenate(owners))
-                strings, owners, held = [], [], 0
-        if held:
-            family.add(np.concatenate(strings), np.concatenate(owners))
-        out = []
-        for sizes, text in lists:
-            counts = sizes - length + 1
-            starts = np.cumsum(counts) - counts
-            least = family.least(_strings(text, np.cumsum(sizes) - sizes, counts, length))
+            cuts = np.cumsum(sizes)
+            names = [text[a:z] for a, z in zip((cuts - sizes).tolist(), cuts.tolist())]
+            for name, i in zip(names, least.tolist()):
+                if i < known.get(name, NO_ID + 1):
+                    known[name] = i
+            lists.append(names)
+        # A window that several groups sent enters once, with its least id.
+        texts = sorted(known)
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        owners = np.fromiter((known[t] for t in texts), np.int64, len(texts))
+        counts, cuts = sizes - length + 1, np.cumsum(sizes)
+        data, ends = b"".join(texts), np.cumsum(counts)
+        lots = np.searchsorted(ends, np.arange(batch, ends[-1] + batch, batch), side="right")
+        spans = [(a, z) for a, z in zip(np.append(0, lots[:-1]).tolist(), np.append(lots[:-1], len(texts)).tolist()) if z > a]
+        own = lambda a, z: _strings(data, (cuts - sizes)[a:z], counts[a:z], length)
+        for a, z in spans:
+            family.add(own(a, z), np.repeat(owners[a:z], counts[a:z]))
+        found = {}
+        for a, z in spans:
+            least = family.least(own(a, z))
+            starts = np.cumsum(counts[a:z]) - counts[a:z]
             low, high = np.minimum.reduceat(least, starts), np.maximum.reduceat(least, starts)
-            even = low == high
-            rest = least[np.repeat(~even, counts)]
-            out.append(zlib.compress(np.where(even, low, MIXED).tobytes() + rest.tobytes(), 1))
+            for i in range(z - a):
+                found[texts[a + i]] = (int(low[i]), b"") if low[i] == high[i] else (MIXED, least[starts[i]:starts[i] + counts[a + i]].tobytes())
+        out = [zlib.compress(np.array([found[n][0] for n in names], np.int64).tobytes() + b"".join(found[n][1] for n in names), 1) for names in lists]
         return _table(table["_sfx_bucket"].to_pylist(), table["_sfx_group"].to_pylist(), out, table["_sfx_bits"].to_pylist())
     return run
 
