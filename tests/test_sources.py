@@ -44,7 +44,16 @@ def test_fragments_of_ipv6_esp(spark, tmp_path, name, make):
     rows = captures.read_packets(spark, str(tmp_path)).orderBy("packet_no").collect()
     assert [(r.ip_proto, r.src, r.length) for r in rows] == [(50, "fd30::2", 80), (44, "fd30::2", 64)]
     assert bytes(rows[0].payload)[:8] == struct.pack("!II", 0x12345678, 1)
-    assert rows[0].capture_id == name[0] and rows[1].ts_us == 2_000_000
+    assert rows[0].capture_id.endswith(f"/{name}") and rows[1].ts_us == 2_000_000
+
+
+def test_captures_of_like_names_stay_apart(spark, tmp_path):
+    names = ["a/capture.pcap", "b/capture.pcap", "cap12", "cap13", "s1.pcap0", "s1.pcap1"]
+    for name in names:
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(_pcap(FRAMES))
+    rows = captures.read_frames(spark, str(tmp_path)).select("capture_id", "frame_no").collect()
+    assert len(rows) == len(set(rows)) == len(names) * len(FRAMES)
 
 
 def test_catalog_keeps_one_of_equal_files(spark, tmp_path):

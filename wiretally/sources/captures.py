@@ -13,10 +13,6 @@ PCAP_MAGIC = {b"\xa1\xb2\xc3\xd4": (">", 10**6), b"\xd4\xc3\xb2\xa1": ("<", 10**
               b"\xa1\xb2\x3c\x4d": (">", 10**9), b"\x4d\x3c\xb2\xa1": ("<", 10**9)}
 
 
-def is_capture(head: bytes) -> bool:
-    return head[:4] == PCAPNG or head[:4] in PCAP_MAGIC
-
-
 def _classic_records(data):
     order, ticks = PCAP_MAGIC[bytes(data[:4])]
     link = struct.unpack_from(order + "I", data, 20)[0] & 0x0FFFFFFF
@@ -92,8 +88,12 @@ def _files(spark, path):
 
 
 def read_frames(spark: SparkSession, path: str, parallelism: int = None) -> DataFrame:
-    """Frames of all capture files under ``path``; ``capture_id`` is the file name without suffix."""
-    files = _files(spark, path).select(F.regexp_extract("path", r"([^/]+?)(?:\.pcap(?:ng)?)?\d*$", 1).alias("capture_id"), "content")
+    """Frames of all capture files under ``path``; ``capture_id`` is the file's path.
+
+    Rotated parts of one session are captures of their own; give them a session and a part number
+    and number their frames with ``merge_parts``.
+    """
+    files = _files(spark, path).select(F.col("path").alias("capture_id"), "content")
     if parallelism:
         files = files.repartition(parallelism, "capture_id")
     return split_frames(files)
