@@ -104,6 +104,44 @@ def test_one_of_each_group_stays(odd, empty):
     assert 5 in ids and 6 not in ids and ids.count(3) == 1 and ids.count(None) == 2
 
 
+def edited_copies():
+    """Texts with few and many edits, with the same words in other order, and a crowd of copies of one text."""
+    rng = np.random.default_rng(9)
+    word = lambda n: [f"w{int(i)}" for i in rng.integers(0, 4000, n)]
+    out = []
+    for _ in range(12):
+        base = word(220)
+        out += [base, base, [w.upper() for w in base], base[::-1], base[110:] + base[:110], base + word(6), base[:200]]
+        for edits in (1, 2, 4, 8, 20):
+            copy = list(base)
+            for at in rng.integers(0, len(base), edits):
+                copy[at] = word(1)[0]
+            out.append(copy)
+    crowd = word(400)
+    for _ in range(60):
+        copy = list(crowd)
+        copy[int(rng.integers(0, 400))] = word(1)[0]
+        out.append(copy)
+    texts = [" ".join(t) for t in out] + [None, "", " \n", "one two", "two one", "one two", "a b c d e", "a b c d e f"]
+    return [(3 * i + 1, t) for i, t in enumerate(texts)]
+
+
+def test_similar_groups_are_those_of_all_pairs(spark):
+    rows = edited_copies()
+    shingles = lambda w: {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    sets = [shingles((t or "").lower().split()) for _, t in rows]
+    bits = np.array([simhash.fingerprint((t or "").encode(), 1, False) for _, t in rows], np.int64).view(np.uint64)
+    root = list(range(len(rows)))
+    alike = [[j for j in range(len(rows)) if np.bitwise_count(bits[i] ^ bits[j]) <= 5
+              and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])] for i in range(len(rows))]
+    while (new := [min(root[j] for j in near) for near in alike]) != root:
+        root = new
+    got = simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = sorted((i, rows[r][0]) for (i, _), r in zip(rows, root))
+    assert sorted(map(tuple, got.collect())) == want
+    assert 1 < len(set(root)) < len(rows) - 100
+
+
 # --- 2
 
 def brute_removal(rows, length=50):

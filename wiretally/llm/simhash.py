@@ -136,12 +136,75 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3, repeats:
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 2, distance: int = 5, repeats: bool = False) -> DataFrame:
-    """``docs`` with one document of each group, the one of least doc_id; columns are unchanged.
+def shingle_set(text: bytes, words: int = 5) -> np.ndarray:
+    """Sorted different 64-bit hashes of the ``words``-word shingles of one text; a shorter text is one shingle."""
+    tokens = text.translate(_LOWER).split()
+    if not tokens:
+        return np.zeros(0, np.int64)
+    count = max(1, len(tokens) - words + 1)
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(tokens[i:i + words]), 42) for i in range(count)), np.uint64, count)).view(np.int64)
+
+
+def _class(shingles: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes(), 42)).view(np.int64))
+
+
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, distance: int = 5) -> DataFrame:
+    """Group of every document with a doc_id: (doc_id, component_id), for verified near-duplicates.
+
+    Candidates are texts whose fingerprints over their different words lie within ``distance`` bits:
+    a few edits move these less than fingerprints over longer shingles. A candidate pair becomes a
+    link only if the sets of its ``words``-word shingles have a Jaccard similarity of ``similarity``
+    or more, counted exactly; so documents that merely use the same words stay apart.
+    ``component_id`` is the least doc_id reachable. Texts with equal shingle sets are one node, and
+    the pairs of different ones are compared only if their set sizes allow the similarity. Empty and
+    blank texts are equal; rows without a doc_id take no part.
+    """
+    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("raw"))
+
+    def sketch(batches):
+        for b in batches:
+            sets = [shingle_set(t, words) for t in b["raw"]]
+            b["fp"] = np.fromiter((fingerprint(t, 1, False) for t in b["raw"]), np.int64, len(b))
+            b["cls"] = np.fromiter(map(_class, sets), np.int64, len(b))
+            b["n"] = np.fromiter(map(len, sets), np.int64, len(b))
+            yield b[["doc_id", "fp", "cls", "n"]]
+
+    def gather(batches):
+        for b in batches:
+            for at in range(0, len(b), 64):
+                part = b.iloc[at:at + 64][["raw"]].copy()
+                part["set"] = [shingle_set(t, words) for t in part["raw"]]
+                part["cls"] = np.fromiter(map(_class, part["set"]), np.int64, len(part))
+                yield part[["cls", "set"]]
+
+    marks = staged(rows.mapInPandas(sketch, "doc_id long, fp long, cls long, n long"))
+    classes = marks.groupBy("cls").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.min("doc_id").alias("first"))
+    near = links(marks.select("fp").distinct(), distance)
+    several = classes.groupBy("fp").count().where("count > 1").select(F.col("fp").alias("u"), F.col("fp").alias("v"))
+    named_side = lambda a: classes.select(F.col("fp").alias(a), F.col("cls").alias(f"{a}c"), F.col("n").alias(f"{a}n"), F.col("first").alias(f"{a}f"))
+    pairs = near.unionByName(several).join(named_side("u"), "u").join(named_side("v"), "v")
+    pairs = staged(pairs.where(((F.col("u") != F.col("v")) | (F.col("uc") < F.col("vc"))) & (F.least("un", "vn") >= similarity * F.greatest("un", "vn")))
+                   .select("uc", "vc", "uf", "vf"))
+    wanted = pairs.select(F.explode(F.array("uf", "vf")).alias("doc_id")).distinct()
+    sets = staged(rows.join(wanted, "doc_id", "left_semi").select("raw").mapInPandas(gather, "cls long, set array<long>"))
+    both = (pairs.select("uc", "vc").join(sets.select(F.col("cls").alias("uc"), F.col("set").alias("us")), "uc")
+            .join(sets.select(F.col("cls").alias("vc"), F.col("set").alias("vs")), "vc"))
+    common = F.size(F.array_intersect("us", "vs"))
+    alike = common >= similarity * (F.size("us") + F.size("vs") - common)
+    roots = components(both.where(alike).select(F.col("uc").alias("u"), F.col("vc").alias("v")))
+    placed = classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = placed.select("cls", "root").join(least, "root").select("cls", "component_id")
+    return marks.join(named, "cls").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, distance: int = 5) -> DataFrame:
+    """``docs`` with one document of each group of ``similar_groups``, the one of least doc_id; columns are unchanged.
 
     Rows that repeat the kept doc_id are copies of it and leave one row. Rows without a doc_id
     stay, as they can't be told apart.
     """
-    found = near_duplicates(docs, words, distance, repeats).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    found = similar_groups(docs, words, similarity, distance).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
     kept = docs.join(found, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where(F.col("doc_id").isNull()))
