@@ -182,7 +182,8 @@ def test_splits_are_disjoint_and_cover_classes(spark):
     assert len(parts) == len({p for p, _ in parts}) == 10
     assert sorted(x for _, x in parts) == ["calib"] * 2 + ["conformal"] * 2 + ["test"] * 2 + ["train"] * 4
     one_class = spark.createDataFrame([(f"p{p:02d}", "a" if p else "b") for p in range(6)], "profile string, label string")
-    assert ds.profile_split(one_class, "label", tries=64).count() == 0
+    with pytest.raises(ValueError):
+        ds.profile_split(one_class, "label", tries=64)
 
 
 def test_label_intervals_against_brute_force(spark):
@@ -196,10 +197,13 @@ def test_label_intervals_against_brute_force(spark):
         labels.append(("dga", f"s{i}", i % 2, rnd.choice(["h", "g"]), rnd.choice([None, "x"]), lo, hi))
     f = spark.createDataFrame(feats, "no long, src string, dst string, ts_us long")
     lab = spark.createDataFrame(labels, "task string, scenario_id string, label int, src string, dst string, start_us long, end_us long")
-    got = sorted((r.no, r.scenario_id) for r in ds.label_intervals(f, lab, "dga", max_buckets=3).collect())
+    got = sorted((r.no, r.scenario_id) for r in ds.label_intervals(f, lab, "dga", per_label=3, salt_rows=20).collect())
     want = sorted((no, s) for no, src, dst, t in feats for _, s, _, ls, ld, lo, hi in labels
                   if src == ls and (ld is None or ld == dst) and (lo is None or t >= lo) and (hi is None or t <= hi))
     assert got == want
+    two = [f.withColumn("capture_id", F.lit(c)) for c in ("c1", "c2")]
+    scoped = ds.label_intervals(two[0].unionByName(two[1]), lab.withColumn("capture_id", F.lit("c2")), "dga", scope="capture_id")
+    assert sorted((r.no, r.scenario_id, r.capture_id) for r in scoped.collect()) == [(*w, "c2") for w in want]
 
 
 def test_dns_question_and_bad_messages(spark):
