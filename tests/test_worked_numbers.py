@@ -220,3 +220,17 @@ def test_tagged_values_and_metrics(spark):
     bad = spark.createDataFrame([("d", 2)], "domain string, label int")
     with pytest.raises(Exception, match="label must be 0 or 1"):
         mt.require_binary_label(bad).collect()
+
+
+def test_beacon_history_expires_after_an_hour(spark):
+    hour = 3_600_000_000
+    times = [0, 10, 20, 30, 3_615, 3_630, 9_000, 9_010]
+    rows = [(i, t * 1_000_000, "10.0.0.1", "9.9.9.9", 443, 6, "f") for i, t in enumerate(times)]
+    df = spark.createDataFrame(rows, "packet_no long, ts_us long, src string, dst string, dport int, ip_proto int, flow_id string")
+    got = {r.packet_no: (r.observations, round(r.interval_mean, 6)) for r in th.beacon_stats(df).collect()}
+    want = {}
+    for i, t in enumerate(times):
+        seen = [x for x in times[:i + 1] if x >= t - hour // 1_000_000]
+        if len(seen) >= 2:
+            want[i] = (len(seen), round((seen[-1] - seen[0]) / (len(seen) - 1), 6))
+    assert got == want and got[4] == (3, 1797.5)
