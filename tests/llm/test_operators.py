@@ -313,6 +313,34 @@ def test_licenses_of_awkward_rows(odd, empty):
     assert [(r["doc_id"], r["license"], r["containment"]) for r in out] == [(1, "bsd", 1.0)]
 
 
+def test_stored_license_lines_in_long_texts(spark):
+    lines = {"All rights reserved.": "reserved-line", "Licensed under the Apache License, Version 2.0.": "apache-2.0", "Released under the MIT License.": "mit",
+             "This work is licensed under the GNU General Public License, version 3.": "gpl-3.0", "Licensed under CC BY-NC 4.0.": "cc-by-nc-4.0"}
+    for lead in (0, 1, 4, 101):
+        texts = [(i, "filler " * lead + f"\n{line}\n" + "more words of filler " * 30) for i, line in enumerate(lines)]
+        out = licenses.scanned(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+        assert {(r["doc_id"], r["license"]) for r in out} == set(enumerate(lines.values()))
+        assert [(r["containment"], r["first_word"], r["n_hits"]) for r in out if r["doc_id"] == 0] == [(1.0, lead, 1)]
+
+
+def test_short_templates_of_every_length(spark):
+    wordings = {"one": "Unlicense", "two": "MIT License", "twin": "mit-license", "three": "no rights reserved", "four": "Free for any use", "none": " . "}
+    texts = ["the MIT license and the mit License again", "mit license", "Unlicense", "it is free for any use, no rights reserved",
+             "rights reserved no", "mit the license", None, ""]
+    out = licenses.scanned(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), wordings).collect()
+    assert sorted(map(tuple, out)) == [(0, "twin", 1.0, 1, 2), (0, "two", 1.0, 1, 2), (1, "twin", 1.0, 0, 1), (1, "two", 1.0, 0, 1),
+                                       (2, "one", 1.0, 0, 1), (3, "four", 1.0, 2, 1), (3, "three", 1.0, 6, 1)]
+
+
+def test_only_short_wordings_add_to_the_sql(spark):
+    """The SQL knows the templates of five words or more; those rows are the same."""
+    found = QUERIES["op1_license_scan"](spark, "/root/testdata/sf0.01")
+    short = found["license"].isin(list(licenses.LINES))
+    assert compare(found.where(~short), connect("/root/testdata/sf0.01"), ORACLES["op1_license_scan"]).startswith("ok")
+    texts = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()
+    assert sorted(r["doc_id"] for r in found.where(short).collect()) == sorted(r["doc_id"] for r in texts if "all rights reserved" in (r["text"] or "").lower())
+
+
 def test_main_text_of_stored_pages(spark):
     import html as entities
     import re

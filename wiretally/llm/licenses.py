@@ -1,5 +1,7 @@
 """License scans: MinHash bands over overlapping text windows find templates, shingle containment verifies them."""
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,8 @@ TEMPLATES = {
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
     "reserved": "All rights reserved. No part of this publication may be reproduced",
 }
+#: Wordings of fewer than ``SHINGLE`` words, which the SQL below does not know.
+LINES = {"reserved-line": "All rights reserved"}
 SHINGLE = 5
 #: What parts words, once letters are lower case.
 GAP = r"[^\p{L}\p{N}]+"
@@ -47,10 +51,22 @@ def _bands(a, b):
                    F.struct(F.lit(1).alias("band"), F.least(F.bitwise_not(a), F.bitwise_not(b)).alias("least")))
 
 
+def _listed(spark, templates: dict) -> DataFrame:
+    return spark.createDataFrame(sorted(templates.items()), "license string, text string").select("license", _words("text").alias("words"))
+
+
+def short_index(spark, templates: dict) -> DataFrame:
+    """(n, hash, license): the templates of fewer than ``SHINGLE`` words, each one shingle of its own ``n`` words."""
+    rows = _listed(spark, templates).where(F.size("words").between(1, SHINGLE - 1))
+    sized = [rows.where(F.size("words") == n).select(F.lit(n).alias("n"), F.element_at(_hashes(F.col("words"), n), 1).alias("hash"), "license")
+             for n in range(1, SHINGLE)]
+    return reduce(DataFrame.unionByName, sized)
+
+
 def index(spark, templates: dict) -> DataFrame:
-    """(band, least, license, template): the bands of every template window, with the template's shingle hashes."""
-    rows = spark.createDataFrame(sorted(templates.items()), "license string, text string")
-    hashed = rows.select("license", F.array_distinct(_hashes(_words("text"))).alias("template"))
+    """(band, least, license, template): the bands of every window of the templates of ``SHINGLE`` words or more, with the template's shingle hashes."""
+    rows = _listed(spark, templates).where(F.size("words") >= SHINGLE)
+    hashed = rows.select("license", F.array_distinct(_hashes(F.col("words"))).alias("template"))
     at = F.explode(F.sequence(F.lit(1), F.size("template")))
     placed = hashed.where(F.size("template") > 0).select("license", "template", at.alias("i"))
     one = F.element_at("template", F.col("i"))
@@ -70,8 +86,11 @@ def scanned(docs: DataFrame, templates: dict = None, containment: float = 0.8) -
     number of the first meeting window's first word (from 0), ``n_hits`` how many windows met. Documents
     without a license, null, empty and blank texts give no row; a text of fewer than five words is
     one shingle. Repeated doc_ids are taken together, null ones too; extra columns are ignored.
+    A template of fewer than five words is one shingle of its own length and is found wherever a
+    text, long or short, holds these words in a row: its windows are these runs.
     """
-    known = index(docs.sparkSession, TEMPLATES if templates is None else templates)
+    templates = TEMPLATES | LINES if templates is None else templates
+    known, short = index(docs.sparkSession, templates), short_index(docs.sparkSession, templates)
     # One-row generators keep the word and shingle arrays from being computed anew for every element.
     words = docs.select("doc_id", F.explode(F.array(_words(F.coalesce("text", F.lit(""))))).alias("words"))
     hashed = words.select("doc_id", F.explode(F.array(_hashes(F.col("words")))).alias("h"))
@@ -85,6 +104,10 @@ def scanned(docs: DataFrame, templates: dict = None, containment: float = 0.8) -
     stretch = F.slice("h", begin, F.col("at") + 1 + reach - begin + 1)
     held = F.size(F.array_intersect("template", stretch)) / F.size("template")
     found = met.select("doc_id", "license", "at", held.alias("held")).where(F.col("held") >= containment)
+    for n in sorted(r["n"] for r in short.select("n").distinct().collect()):
+        runs = words.where(F.size("words") >= n).select("doc_id", F.posexplode(_hashes(F.col("words"), n)).alias("i", "hash"))
+        same = F.broadcast(short.where(F.col("n") == n).select("hash", "license"))
+        found = found.unionByName(runs.join(same, "hash").select("doc_id", "license", (F.col("i") + 1).alias("at"), F.lit(1.0).alias("held")))
     return (found.groupBy("doc_id", "license").agg(F.max("held").alias("containment"), (F.min("at") - 1).cast("long").alias("first_word"),
                                                    F.count_distinct("at").alias("n_hits")))
 
