@@ -5,6 +5,8 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -176,6 +178,42 @@ def test_removal_does_not_depend_on_how_work_is_cut(docs, monkeypatch):
     assert rows_of(got) == want
 
 
+def test_a_frequent_line_in_other_surroundings_stays_spread():
+    rng, line, n, buckets = np.random.default_rng(5), "a short line that very many of the documents hold, 53 b", 24000, 16
+    word = lambda: bytes(rng.integers(97, 123, 30, dtype=np.uint8)).decode()
+    texts = [f"{word()} {line} {word()}" for _ in range(n)]
+    groups = [pa.table({"_sfx_id": list(range(g, n, 8)), "text": texts[g::8], "_sfx_group": [g] * len(texts[g::8])}) for g in range(8)]
+    parts = lambda tables, by: [t.filter(pc.equal(t[by], b)) for t in [pa.concat_tables(tables)] for b in sorted(set(t[by].to_pylist()))]
+    answers = [suffixes._repeated_anchors(t) for t in parts([suffixes._anchors_of(50, buckets)(g) for g in groups], "_sfx_bucket")]
+    sent = parts([suffixes._windows_of(50, buckets)(g, a) for g, a in zip(groups, parts(answers, "_sfx_group"))], "_sfx_bucket")
+    sizes = [sum(len(suffixes._opened(d)[2]) for d in t["_sfx_data"].to_pylist()) for t in sent]
+    assert len(sizes) == buckets and max(sizes) < 2 * sum(sizes) / len(sizes)
+    found = parts([suffixes._least_ids(50, 1 << 18)(t) for t in sent], "_sfx_group")
+    got = []
+    for g, (group, answer) in enumerate(zip(groups, found)):
+        for i, t, spans in zip(range(g, n, 8), texts[g::8], suffixes._spans_of(50, buckets)(group, answer)[1]):
+            kept = suffixes.without(t.encode(), spans)
+            got.append((i, len(t), sum(z - a for a, z in spans), len(spans), hashlib.sha256(kept).hexdigest()))
+    assert sorted(got, key=repr) == brute_removal([(i, t.encode()) for i, t in enumerate(texts)])
+
+
+def test_removed_bytes_where_every_anchor_is_crowded(docs, odd, monkeypatch):
+    for df in (docs.limit(60), odd):
+        rows = [(r["doc_id"], (r["text"] or "").encode()) for r in df.collect()]
+        monkeypatch.setattr(suffixes, "CROWD", -1)
+        groups = [pa.table({"_sfx_id": pa.array([i for i, _ in rows[g::3]], pa.int64()), "text": [t.decode() for _, t in rows[g::3]],
+                            "_sfx_group": [g] * len(rows[g::3])}) for g in range(3)]
+        parts = lambda tables, by: [t.filter(pc.equal(t[by], b)) for t in [pa.concat_tables(tables)] for b in sorted(set(t[by].to_pylist()))]
+        answers = [suffixes._repeated_anchors(t) for t in parts([suffixes._anchors_of(50, 5)(g) for g in groups], "_sfx_bucket")]
+        sent = [suffixes._windows_of(50, 5)(g, a) for g, a in zip(groups, parts(answers, "_sfx_group"))]
+        found = parts([suffixes._least_ids(50, 1000)(t) for t in parts(sent, "_sfx_bucket")], "_sfx_group")
+        got = []
+        for g, (group, answer) in enumerate(zip(groups, found)):
+            for (i, t), spans in zip(rows[g::3], suffixes._spans_of(50, 5)(group, answer)[1]):
+                got.append((i, len(t), sum(z - a for a, z in spans), len(spans), hashlib.sha256(suffixes.without(t, spans)).hexdigest()))
+        assert sorted(got, key=repr) == brute_removal(rows)
+
+
 def test_long_texts_in_pieces(monkeypatch):
     monkeypatch.setattr(suffixes, "PIECE", 300)
     text = bytes(np.random.default_rng(1).integers(97, 101, 5000, dtype=np.uint8))

@@ -14,7 +14,9 @@ in one bucket, and neighbouring strings that share an anchor travel as one short
 3. Each group takes the least doc_id of its strings and marks what a smaller one covers.
 
 Groups and buckets hold a bounded amount of text and there are as many as the table needs. A
-passage in any number of documents costs a bucket one window per group, so no bucket runs hot.
+passage in any number of documents costs a bucket one window per group. A frequent line stands in
+ever other surroundings, so the windows of its anchors differ; step 1 counts them, and the windows
+of an anchor with more than ``CROWD`` are cut to single strings, each dealt by its own hash.
 """
 
 import zlib
@@ -30,6 +32,8 @@ from wiretally.llm.common import parts_for, text_bytes
 
 GRAM = 16
 PIECE = 1 << 20
+#: How many different windows of an anchor, beyond one per group, may go to one bucket.
+CROWD = 1 << 13
 NO_ID = np.iinfo(np.int64).max
 MIXED = np.iinfo(np.int64).min
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
@@ -140,6 +144,16 @@ def _distinct_keys(windows, ids):
     return keys[starts], np.minimum.reduceat(owners, starts) < np.maximum.reduceat(owners, starts)
 
 
+def _crowds(windows):
+    """For each sorted different anchor of a group how many different windows it has beyond the first."""
+    order = np.argsort(windows.key, kind="stable")
+    _, number, count = np.unique(windows.key[order], return_inverse=True, return_counts=True)
+    order, number = order[count[number] > 1], number[count[number] > 1]
+    texts = (windows.data[s:e] for s, e in zip(windows.start[order].tolist(), windows.end[order].tolist()))
+    different = np.fromiter((n for n, _ in set(zip(number.tolist(), texts))), np.int64)
+    return np.maximum(np.bincount(different, minlength=len(count)) - 1, 0)
+
+
 def _group(table, length):
     """Ids and texts of a group in an order that the rows alone fix, and the permutation."""
     ids = np.array([NO_ID if v is None else v for v in table["_sfx_id"].to_pylist()], np.int64)
@@ -162,33 +176,40 @@ def _anchors_of(length, buckets):
     def run(table):
         ids, _, windows = _group(table, length)
         keys, several = _distinct_keys(windows, ids)
-        edges, out = _bucketed(keys, buckets), []
+        edges, crowds, out = _bucketed(keys, buckets), _crowds(windows), []
         for b in np.flatnonzero(np.diff(edges)):
             part = slice(edges[b], edges[b + 1])
             short = (keys[part] >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6]
-            out.append((int(b), short.tobytes() + np.packbits(several[part]).tobytes()))
+            at = np.flatnonzero(crowds[part])
+            more = np.stack([at, crowds[part][at]]).astype(np.uint32)
+            out.append((int(b), np.uint32(len(short)).tobytes() + short.tobytes() + np.packbits(several[part]).tobytes() + more.tobytes()))
         group = table["_sfx_group"][0].as_py()
         return _table([b for b, _ in out], [group] * len(out), [d for _, d in out])
     return run
 
 
 def _repeated_anchors(table):
-    """Which anchors of each group's list occur in two documents: one bit each."""
-    lists, several = [], []
+    """Which anchors of each group's list occur in two documents: one bit each, then the places of the crowded ones."""
+    lists, several, places, extras, begin = [], [], [], [], 0
     for data in table["_sfx_data"].to_pylist():
-        n = len(data) * 8 // 49
-        n = next(k for k in (n - 1, n, n + 1) if k >= 0 and 6 * k + (k + 7) // 8 == len(data))
+        n = int(np.frombuffer(data, np.uint32, 1)[0])
         wide = np.zeros((n, 8), np.uint8)
-        wide[:, :6] = np.frombuffer(data, np.uint8, 6 * n).reshape(n, 6)
+        wide[:, :6] = np.frombuffer(data, np.uint8, 6 * n, 4).reshape(n, 6)
         lists.append(wide.view(np.uint64).ravel())
-        several.append(np.unpackbits(np.frombuffer(data, np.uint8, offset=6 * n), count=n).astype(bool))
+        end = 4 + 6 * n + (n + 7) // 8
+        several.append(np.unpackbits(np.frombuffer(data[:end], np.uint8, offset=4 + 6 * n), count=n).astype(bool))
+        at, extra = np.frombuffer(data[end:], np.uint32).reshape(2, -1).astype(np.int64)
+        places.append(begin + at)
+        extras.append(extra)
+        begin += n
     keys = np.concatenate(lists)
     found, place, count = np.unique(keys, return_inverse=True, return_counts=True)
-    twice = count > 1
+    twice, crowd = count > 1, np.zeros(len(found), np.int64)
     twice[place[np.concatenate(several)]] = True
-    bits, at, out = twice[place], 0, []
+    np.add.at(crowd, place[np.concatenate(places)], np.concatenate(extras))
+    bits, crowded, at, out = twice[place], (twice & (crowd > CROWD))[place], 0, []
     for keys in lists:
-        out.append(np.packbits(bits[at:at + len(keys)]).tobytes())
+        out.append(np.packbits(bits[at:at + len(keys)]).tobytes() + np.flatnonzero(crowded[at:at + len(keys)]).astype(np.uint32).tobytes())
         at += len(keys)
     return _table(table["_sfx_bucket"].to_pylist(), table["_sfx_group"].to_pylist(), out)
 
@@ -252,27 +273,80 @@ def _windows_of(length, buckets):
             return _table([], [], [], [])
         ids, _, windows = _group(docs, length)
         given = dict(zip(answers["_sfx_bucket"].to_pylist(), answers["_sfx_data"].to_pylist()))
-        out = []
-        for b, chosen in _chosen(windows, given, ids, buckets):
-            texts, least, _ = _different(windows, chosen, ids)
-            sizes = np.fromiter((len(t) for t in texts), np.uint16, len(texts))
-            out.append((b, zlib.compress(sizes.tobytes() + least.tobytes() + b"".join(texts), 1)))
+        plain, crowded = _chosen(windows, given, ids, buckets)
+        single, out = Single(windows, crowded, ids, length, buckets), []
+        for b in sorted(set(plain) | set(single.buckets)):
+            texts, least, _ = _different(windows, plain.get(b, crowded[:0]), ids)
+            part = single.part(b)
+            sizes = np.append(np.fromiter((len(t) for t in texts), np.uint16, len(texts)), np.full(part.stop - part.start, length, np.uint16))
+            raw = sizes.tobytes() + least.tobytes() + single.least[part].tobytes() + b"".join(texts) + single.strings[part].tobytes()
+            out.append((b, zlib.compress(np.uint64(len(sizes)).tobytes() + raw, 1)))
         group = docs["_sfx_group"][0].as_py()
-        return _table([b for b, _ in out], [group] * len(out), [d for _, d in out], [given[b] for b, _ in out])
+        return _table([b for b, _ in out], [group] * len(out), [d for _, d in out], [given.get(b, b"") for b, _ in out])
     return run
 
 
 def _chosen(windows, given, ids, buckets):
-    """For each bucket the windows whose anchor has its bit set in the bucket's answer."""
+    """The windows whose anchor has its bit set in its bucket's answer: by bucket those of plain anchors, and those of crowded ones.
+
+    A bucket with crowded anchors only has an entry too, so that its answer travels on.
+    """
     keys, _ = _distinct_keys(windows, ids)
-    edges, repeated = _bucketed(keys, buckets), np.zeros(len(keys), bool)
+    edges, repeated, crowded = _bucketed(keys, buckets), np.zeros(len(keys), bool), np.zeros(len(keys), bool)
     for b, bits in given.items():
-        repeated[edges[b]:edges[b + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=edges[b + 1] - edges[b])
-    picked = np.flatnonzero(repeated[np.searchsorted(keys, windows.key)])
+        n = int(edges[b + 1] - edges[b])
+        repeated[edges[b]:edges[b + 1]] = np.unpackbits(np.frombuffer(bits[:(n + 7) // 8], np.uint8), count=n)
+        crowded[edges[b] + np.frombuffer(bits[(n + 7) // 8:], np.uint32).astype(np.int64)] = True
+    at = np.searchsorted(keys, windows.key)
+    picked = np.flatnonzero(repeated[at])
     picked = picked[np.argsort(windows.key[picked], kind="stable")]
-    edges = _bucketed(windows.key[picked], buckets)
+    edges, alone = _bucketed(windows.key[picked], buckets), crowded[at[picked]]
+    plain = {}
     for b in np.flatnonzero(np.diff(edges)):
-        yield int(b), picked[edges[b]:edges[b + 1]]
+        part = slice(edges[b], edges[b + 1])
+        plain[int(b)] = picked[part][~alone[part]]
+    return plain, picked[alone]
+
+
+class Single:
+    """The different strings of a group's crowded windows, in order of a hash of their own that deals them to buckets.
+
+    ``number`` is each window's text among ``counts`` and ``firsts``, which tell where its strings lie in ``which``,
+    the list of string numbers.
+    """
+
+    def __init__(self, windows, chosen, ids, length, buckets):
+        names, least, self.number = _different(windows, chosen, ids)
+        self.counts = np.fromiter(map(len, names), np.int64, len(names)) - length + 1
+        self.firsts = np.cumsum(self.counts) - self.counts
+        sizes = self.counts + length - 1
+        if names:
+            strings = _strings(b"".join(names), np.cumsum(sizes) - sizes, self.counts, length)
+        else:
+            strings = np.zeros(0, f"S{length}")
+        key = _string_hashes(strings, length)
+        order = np.argsort(key, kind="stable")
+        key, strings, owners = key[order], strings[order], np.repeat(least, self.counts)[order]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (strings[1:] != strings[:-1])
+        self.which = np.zeros(len(key), np.int64)
+        self.which[order] = np.cumsum(new) - 1
+        starts = np.flatnonzero(new)
+        self.strings, self.least = strings[starts], np.minimum.reduceat(owners, starts) if len(starts) else owners
+        self.edges = _bucketed(key[starts], buckets)
+        self.buckets = np.flatnonzero(np.diff(self.edges)).tolist()
+
+    def part(self, bucket):
+        return slice(int(self.edges[bucket]), int(self.edges[bucket + 1]))
+
+
+def _string_hashes(strings, length):
+    a, h = strings.view(np.uint8).reshape(-1, length), np.zeros(len(strings), np.uint64)
+    for at in [*range(0, length - 8, 8), length - 8]:
+        h = (h ^ np.ascontiguousarray(a[:, at:at + 8]).view(np.uint64).ravel()) * _MIX[0]
+        h ^= h >> np.uint64(29)
+    h *= _MIX[2]
+    return h ^ (h >> np.uint64(32))
 
 
 def _different(windows, chosen, ids):
@@ -292,16 +366,8 @@ def _different(windows, chosen, ids):
 
 def _opened(data):
     raw = zlib.decompress(data)
-    n = _count(raw)
-    sizes = np.frombuffer(raw, np.uint16, n).astype(np.int64)
-    return sizes, np.frombuffer(raw[2 * n:10 * n], np.int64), raw[10 * n:]
-
-
-def _count(raw):
-    """How many windows: their sizes and the rest must add up."""
-    sizes = np.frombuffer(raw, np.uint16, len(raw) // 2).astype(np.int64)
-    spent = np.cumsum(sizes) + 10 * np.arange(1, len(sizes) + 1)
-    return int(np.searchsorted(spent, len(raw))) + 1
+    n = int(np.frombuffer(raw, np.uint64, 1)[0])
+    return np.frombuffer(raw, np.uint16, n, 8).astype(np.int64), np.frombuffer(raw[8 + 2 * n:8 + 10 * n], np.int64), raw[8 + 10 * n:]
 
 
 def _least_ids(length, batch):
@@ -322,7 +388,7 @@ def _least_ids(length, batch):
         owners = np.fromiter((known[t] for t in texts), np.int64, len(texts))
         counts, cuts = sizes - length + 1, np.cumsum(sizes)
         data, ends = b"".join(texts), np.cumsum(counts)
-        lots = np.searchsorted(ends, np.arange(batch, ends[-1] + batch, batch), side="right")
+        lots = np.searchsorted(ends, np.arange(batch, (ends[-1] if len(ends) else 0) + batch, batch), side="right")
         spans = [(a, z) for a, z in zip(np.append(0, lots[:-1]).tolist(), np.append(lots[:-1], len(texts)).tolist()) if z > a]
         own = lambda a, z: _strings(data, (cuts - sizes)[a:z], counts[a:z], length)
         for a, z in spans:
@@ -347,11 +413,17 @@ def _spans_of(length, buckets):
         marks = [[] for _ in texts]
         bits = dict(zip(answers["_sfx_bucket"].to_pylist(), answers["_sfx_bits"].to_pylist()))
         least = dict(zip(answers["_sfx_bucket"].to_pylist(), answers["_sfx_data"].to_pylist()))
-        for b, chosen in _chosen(windows, bits, ids, buckets):
+        plain, crowded = _chosen(windows, bits, ids, buckets)
+        single = Single(windows, crowded, ids, length, buckets)
+        value = np.full(len(single.strings), NO_ID)
+        for b in sorted(set(plain) | set(single.buckets)):
+            chosen = plain.get(b, crowded[:0])
             names, _, number = _different(windows, chosen, ids)
             counts = np.fromiter((len(t) for t in names), np.int64, len(names)) - length + 1
             raw = np.frombuffer(zlib.decompress(least[b]), np.int64)
-            one, rest = raw[:len(names)], raw[len(names):]
+            part = single.part(b)
+            both = len(names) + part.stop - part.start
+            one, rest, value[part] = raw[:len(names)], raw[both:], raw[len(names):both]
             odd = one == MIXED
             ends = np.cumsum(np.where(odd, counts, 0))
             doc, place, me = windows.doc[chosen], windows.place[chosen], ids[windows.doc[chosen]]
@@ -365,6 +437,16 @@ def _spans_of(length, buckets):
                 cut = np.flatnonzero(np.diff(hit) > 1)
                 for a, z in zip(hit[np.append(0, cut + 1)].tolist(), hit[np.append(cut, len(hit) - 1)].tolist()) if len(hit) else ():
                     marks[doc[i]].append((int(place[i]) + a, int(place[i]) + z + length))
+        # A crowded window's strings are marked one by one.
+        doc, place, me, of = windows.doc[crowded], windows.place[crowded], ids[windows.doc[crowded]], single.number
+        value = value[single.which]
+        low = np.minimum.reduceat(value, single.firsts) if len(value) else value
+        for i in np.flatnonzero(low[of] < me).tolist():
+            n = of[i]
+            hit = np.flatnonzero(value[single.firsts[n]:single.firsts[n] + single.counts[n]] < me[i])
+            cut = np.flatnonzero(np.diff(hit) > 1)
+            for a, z in zip(hit[np.append(0, cut + 1)].tolist(), hit[np.append(cut, len(hit) - 1)].tolist()):
+                marks[doc[i]].append((int(place[i]) + a, int(place[i]) + z + length))
         return texts, [_joined(m) for m in marks]
     return covered
 
