@@ -144,6 +144,18 @@ def test_similar_groups_are_those_of_all_pairs(spark):
     assert 1 < len(set(root)) < len(rows) - 100
 
 
+def test_kept_documents_are_those_of_all_similar_pairs(spark):
+    rows = edited_copies()
+    shingles = lambda w: {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    sets = [shingles((t or "").lower().split()) for _, t in rows]
+    alike = [[j for j in range(len(rows)) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])] for i in range(len(rows))]
+    root = list(range(len(rows)))
+    while (new := [min(root[j] for j in near) for near in alike]) != root:
+        root = new
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted({rows[r][0] for r in root})
+
+
 # --- 2
 
 def brute_removal(rows, length=50):

@@ -149,7 +149,21 @@ def _class(shingles: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes(), 42)).view(np.int64))
 
 
-def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, distance: int = 5) -> DataFrame:
+def _prefixes(sets: DataFrame, sizes: DataFrame, similarity: float) -> DataFrame:
+    """(shingle, cls): the rarest shingles of each set, so many that two sets of ``similarity`` or more share one of them.
+
+    Of n shingles in one order for all sets these are the first n - ceil(similarity n) + 1. Shingles
+    that only one set holds come first and meet none, so they only use up places.
+    """
+    held = sets.select("cls", F.explode("set").alias("shingle"))
+    often = held.groupBy("shingle").count().where("count > 1")
+    repeated = held.join(often, "shingle").groupBy("cls").agg(F.array_sort(F.collect_set(F.struct("count", "shingle"))).alias("known"))
+    places = F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1 - (F.col("n") - F.size("known"))
+    return (repeated.join(sizes, "cls").withColumn("places", places.cast("int")).where("places > 0")
+            .select("cls", F.explode(F.slice("known", F.lit(1), F.col("places"))).alias("at")).select("at.shingle", "cls"))
+
+
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, distance: int = 5, complete: bool = False) -> DataFrame:
     """Group of every document with a doc_id: (doc_id, component_id), for verified near-duplicates.
 
     Candidates are texts whose fingerprints over their different words lie within ``distance`` bits:
@@ -159,6 +173,9 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, dis
     ``component_id`` is the least doc_id reachable. Texts with equal shingle sets are one node, and
     the pairs of different ones are compared only if their set sizes allow the similarity. Empty and
     blank texts are equal; rows without a doc_id take no part.
+
+    With ``complete`` no similar pair is lost: texts that share one of their rarest shingles
+    (``_prefixes``) and whose groups still differ are compared too, whatever their fingerprints.
     """
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("raw"))
 
@@ -186,13 +203,29 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, dis
     pairs = near.unionByName(several).join(named_side("u"), "u").join(named_side("v"), "v")
     pairs = staged(pairs.where(((F.col("u") != F.col("v")) | (F.col("uc") < F.col("vc"))) & (F.least("un", "vn") >= similarity * F.greatest("un", "vn")))
                    .select("uc", "vc", "uf", "vf"))
-    wanted = pairs.select(F.explode(F.array("uf", "vf")).alias("doc_id")).distinct()
+    firsts = classes.select(F.col("first").alias("doc_id"))
+    wanted = (firsts if complete else pairs.select(F.explode(F.array("uf", "vf")).alias("doc_id"))).distinct()
     sets = staged(rows.join(wanted, "doc_id", "left_semi").select("raw").mapInPandas(gather, "cls long, set array<long>"))
-    both = (pairs.select("uc", "vc").join(sets.select(F.col("cls").alias("uc"), F.col("set").alias("us")), "uc")
-            .join(sets.select(F.col("cls").alias("vc"), F.col("set").alias("vs")), "vc"))
-    common = F.size(F.array_intersect("us", "vs"))
-    alike = common >= similarity * (F.size("us") + F.size("vs") - common)
-    roots = components(both.where(alike).select(F.col("uc").alias("u"), F.col("vc").alias("v")))
+
+    def verified(pairs):
+        both = (pairs.select("uc", "vc").join(sets.select(F.col("cls").alias("uc"), F.col("set").alias("us")), "uc")
+                .join(sets.select(F.col("cls").alias("vc"), F.col("set").alias("vs")), "vc"))
+        common = F.size(F.array_intersect("us", "vs"))
+        alike = common >= similarity * (F.size("us") + F.size("vs") - common)
+        return both.where(alike).select(F.col("uc").alias("u"), F.col("vc").alias("v"))
+
+    roots = components(verified(pairs))
+    if complete:
+        nodes = classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "n", F.coalesce("root", "cls").alias("root"))
+        shared = staged(_prefixes(sets, nodes.select("cls", "n"), similarity).join(nodes, "cls"))
+        # Where all that share a shingle are of one group already, as in a crowd of near copies, nothing is left to compare.
+        mixed = shared.groupBy("shingle").agg(F.min("root").alias("a"), F.max("root").alias("z")).where("a <> z").select("shingle")
+        open_ = shared.join(mixed, "shingle")
+        side = lambda a: open_.select("shingle", F.col("cls").alias(f"{a}c"), F.col("n").alias(f"{a}n"), F.col("root").alias(f"{a}r"))
+        fits = F.least("un", "vn") >= similarity * F.greatest("un", "vn")
+        missed = side("u").join(side("v"), "shingle").where((F.col("uc") < F.col("vc")) & (F.col("ur") != F.col("vr")) & fits)
+        found = verified(staged(missed.select("uc", "vc").distinct()))
+        roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(found))
     placed = classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     named = placed.select("cls", "root").join(least, "root").select("cls", "component_id")
@@ -205,6 +238,6 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, distance:
     Rows that repeat the kept doc_id are copies of it and leave one row. Rows without a doc_id
     stay, as they can't be told apart.
     """
-    found = similar_groups(docs, words, similarity, distance).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    found = similar_groups(docs, words, similarity, distance, complete=True).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
     kept = docs.join(found, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where(F.col("doc_id").isNull()))
