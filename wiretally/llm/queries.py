@@ -1,6 +1,6 @@
 """The registered queries of this subpackage: each operator over its whole table, with its production parameters."""
 
-from wiretally.llm import ann, decontam, html, licenses, merkle, mixing, packing, simhash, suffixes, tokens, toxicity, trie
+from wiretally.llm import ann, decontam, html, licenses, merkle, mixing, packing, simhash, suffixes, tokens, toxicity, trie, whitening
 from wiretally.llm.common import table
 from pyspark.sql import functions as F
 
@@ -51,6 +51,10 @@ def op10_simhash_near_dedup(spark, sf_dir):
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_embedding_whitening(spark, sf_dir):
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 def op12_conversation_prefix_trie(spark, sf_dir):
     return trie.trie(table(spark, sf_dir, "conversations"))
 
@@ -61,6 +65,6 @@ def op13_benchmark_decontamination(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_suffix_array_dedup, op3_html_extraction, op4_source_mixing, op5_packing,
                                    op6_nearest_neighbours, op7_token_counts, op8_toxicity, op9_document_fingerprints, op10_simhash_near_dedup,
-                                   op12_conversation_prefix_trie, op13_benchmark_decontamination)}
+                                   op11_embedding_whitening, op12_conversation_prefix_trie, op13_benchmark_decontamination)}
 ORACLES = {"op1_license_scan": licenses.SQL, "op4_source_mixing": mixing.SQL, "op12_conversation_prefix_trie": trie.SQL,
            "op13_benchmark_decontamination": decontam.SQL}
