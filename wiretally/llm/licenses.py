@@ -21,7 +21,7 @@ TEMPLATES = {
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
     "reserved": "All rights reserved. No part of this publication may be reproduced",
 }
-#: Wordings of fewer than ``SHINGLE`` words, which the SQL below does not know.
+#: Wordings of fewer than ``SHINGLE`` words.
 LINES = {"reserved-line": "All rights reserved"}
 SHINGLE = 5
 #: What parts words, once letters are lower case.
@@ -113,12 +113,13 @@ def scanned(docs: DataFrame, templates: dict = None, containment: float = 0.8) -
 
 
 def _sql():
-    listed = ", ".join(f"('{name}', '{text}')" for name, text in sorted(TEMPLATES.items()))
+    listed, lines = (", ".join(f"('{name}', '{text}')" for name, text in sorted(given.items())) for given in (TEMPLATES, LINES))
     cut = r"list_filter(regexp_split_to_array(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
     runs = ("CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) "
             "WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE []::VARCHAR[] END")
     return f"""
 WITH templates(license, text) AS (VALUES {listed}),
+lines(license, text) AS (VALUES {lines}),
 cut AS (SELECT license, {cut.format('text')} AS w FROM templates),
 shingled AS (SELECT license, list_distinct({runs}) AS t FROM cut),
 words AS (SELECT doc_id, {cut.format("coalesce(text, '')")} AS w FROM documents),
@@ -129,9 +130,13 @@ met AS (
   JOIN (SELECT license, t, unnest(t) AS s FROM shingled) k ON k.s = h[p]),
 held AS (
   SELECT doc_id, license, place,
-         len(list_filter(t, lambda s: list_contains(h[greatest(place - len(t) + 1, 1):place + len(t)], s))) / len(t)::DOUBLE AS held FROM met)
+         len(list_filter(t, lambda s: list_contains(h[greatest(place - len(t) + 1, 1):place + len(t)], s))) / len(t)::DOUBLE AS held FROM met),
+short AS (
+  SELECT doc_id, license, unnest(list_filter(range(1, len(w) - len(l) + 2), lambda i: w[i:i + len(l) - 1] = l)) AS place
+  FROM words, (SELECT license, {cut.format('text')} AS l FROM lines))
 SELECT doc_id, license, max(held) AS containment, (min(place) - 1)::BIGINT AS first_word, count(DISTINCT place)::BIGINT AS n_hits
-FROM held WHERE held >= 0.8 GROUP BY doc_id, license
+FROM (SELECT doc_id, license, place, held FROM held WHERE held >= 0.8 UNION ALL SELECT doc_id, license, place, 1.0 FROM short)
+GROUP BY doc_id, license
 """
 
 
