@@ -1,5 +1,7 @@
 """Source and sink queries: the row work of readers and writers on data derived from the tables."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from wiretally.functions.net import spi_text
@@ -8,7 +10,8 @@ from wiretally.plans import posture
 from wiretally.registry.base import query
 from wiretally.registry.packets import FEATURES_SQL, _frames, _h
 from wiretally.registry.posture import RULES, findings_sql, with_conf
-from wiretally.sources import captures, tables
+from wiretally.session import checkpoint_folder, stage
+from wiretally.sources import captures, ranges, tables
 
 
 def _pcap_files(spark, d):
@@ -24,6 +27,18 @@ def _pcap_files(spark, d):
 query("s1_split_frames", """SELECT CAST(event_id AS VARCHAR) AS capture_id, n AS frame_no, event_id*1000 + n*1000000 AS ts_us,
       CAST(CASE WHEN event_id % 12 = 0 THEN 101 ELSE 1 END AS BIGINT) AS linktype FROM events, range(2) r(n)""")(
     lambda spark, d: captures.split_frames(_pcap_files(spark, d)).select("capture_id", "frame_no", "ts_us", "linktype"))
+
+
+@query("s1_capture_ranges", """SELECT event_id*1000 AS ts_us, CAST(CASE WHEN event_id % 12 = 0 THEN 101 ELSE 1 END AS BIGINT) AS linktype, event_id - min(event_id) OVER () AS place FROM events""")
+def _ranges(spark, d):
+    """Every frame written to capture files in the shared folder and read back in ranges of 64 KB; a frame's number orders it within its file."""
+    folder = f"{checkpoint_folder(spark).rstrip('/')}/captures-{uuid.uuid4().hex}"
+    stage(ranges.write_frames(_frames(spark, d).orderBy("ts_us"), folder))
+    frames = stage(captures.read_frames(spark, folder, 1 << 16))
+    parts = frames.select("*", F.regexp_extract("capture_id", "part-([0-9]+)", 1).cast("int").alias("part_no"), F.lit(0).alias("session_id"))
+    return captures.merge_parts(parts).select("ts_us", "linktype", F.col("packet_no").alias("place"))
+
+
 query("s4_capture_catalog", "SELECT text AS content_text, min(doc_id) AS first_doc, CAST(octet_length(encode(text)) AS BIGINT) AS bytes, concat(sha256(text), '.pcapng') AS stored_name FROM documents GROUP BY text", ["documents"])(
     lambda docs: captures.capture_catalog(docs.select(F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("path"), F.encode("text", "utf-8").alias("content")))
     .select(F.col("path").cast("long").alias("first_doc"), "bytes", "stored_name").join(

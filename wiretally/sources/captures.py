@@ -1,69 +1,22 @@
 """Capture files: frames, catalogue and rotated parts."""
 
-import struct
+import hashlib
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FRAME_SCHEMA = "capture_id string, frame_no long, ts_us long, linktype int, frame binary"
-PCAPNG = b"\x0a\x0d\x0d\x0a"
-# File magic -> (byte order, ticks per second).
-PCAP_MAGIC = {b"\xa1\xb2\xc3\xd4": (">", 10**6), b"\xd4\xc3\xb2\xa1": ("<", 10**6),
-              b"\xa1\xb2\x3c\x4d": (">", 10**9), b"\x4d\x3c\xb2\xa1": ("<", 10**9)}
-
-
-def _classic_records(data):
-    order, ticks = PCAP_MAGIC[bytes(data[:4])]
-    link = struct.unpack_from(order + "I", data, 20)[0] & 0x0FFFFFFF
-    at = 24
-    while at + 16 <= len(data):
-        sec, frac, kept, _ = struct.unpack_from(order + "IIII", data, at)
-        if at + 16 + kept > len(data):
-            return
-        yield sec * 1_000_000 + frac * 1_000_000 // ticks, link, bytes(data[at + 16:at + 16 + kept])
-        at += 16 + kept
-
-
-def _tick_rate(options, order):
-    at = 0
-    while at + 4 <= len(options):
-        code, size = struct.unpack_from(order + "HH", options, at)
-        if code == 0:
-            break
-        if code == 9 and size >= 1:
-            value = options[at + 4]
-            return 2 ** (value & 0x7F) if value & 0x80 else 10 ** value
-        at += 4 + (size + 3) // 4 * 4
-    return 10**6
-
-
-def _block_records(data):
-    order, links, at = "<", [], 0
-    while at + 12 <= len(data):
-        if bytes(data[at:at + 4]) == PCAPNG:
-            order = ">" if bytes(data[at + 8:at + 12]) == b"\x1a\x2b\x3c\x4d" else "<"
-            links = []
-        kind, size = struct.unpack_from(order + "II", data, at)
-        if size < 12 or at + size > len(data):
-            return
-        body = data[at + 8:at + size - 4]
-        if kind == 1:
-            links.append((struct.unpack_from(order + "H", body, 0)[0], _tick_rate(bytes(body[8:]), order)))
-        elif kind == 6 and links:
-            port, high, low, kept, _ = struct.unpack_from(order + "IIIII", body, 0)
-            link, ticks = links[min(port, len(links) - 1)]
-            yield (high << 32 | low) * 1_000_000 // ticks, link, bytes(body[20:20 + kept])
-        at += size
+from wiretally.sources import ranges
+from wiretally.sources.ranges import FRAME_SCHEMA
 
 
 def records(data: bytes):
-    """(ts_us, linktype, frame) of one file's bytes; a cut-off last record is left out."""
-    view = memoryview(data)
-    if bytes(view[:4]) == PCAPNG:
-        yield from _block_records(view)
-    elif bytes(view[:4]) in PCAP_MAGIC:
-        yield from _classic_records(view)
+    """(ts_us, linktype, frame) of one file's bytes; it ends at the first record that can't be read."""
+    src = ranges.Local(data)
+    walk = ranges.walker(src)
+    if walk is not None and not walk.stopped:
+        for _, ts, link, begin, length in walk.walk(walk.first, src.size):
+            yield ts, link, src.get(begin, length)
 
 
 def split_frames(files: DataFrame, batch: int = 20_000) -> DataFrame:
@@ -82,26 +35,21 @@ def split_frames(files: DataFrame, batch: int = 20_000) -> DataFrame:
     return files.select("capture_id", "content").mapInPandas(body, schema=FRAME_SCHEMA)
 
 
-def _files(spark, path):
-    # One whole file is one row; a larger file fails here and must be cut beforehand.
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-
-
-def read_frames(spark: SparkSession, path: str, parallelism: int = None) -> DataFrame:
+def read_frames(spark: SparkSession, path: str, range_bytes: int = ranges.RANGE_BYTES) -> DataFrame:
     """Frames of all capture files under ``path``; ``capture_id`` is the file's path.
 
-    Rotated parts of one session are captures of their own; give them a session and a part number
-    and number their frames with ``merge_parts``.
+    Files of any size are read in byte ranges (see ``ranges``); ``ranges.capture_report`` tells what could
+    not be read. Frames of simple packet blocks have no time (``ts_us`` is null). Rotated parts of one
+    session are captures of their own; give them a session and a part number and number their frames
+    with ``merge_parts``.
     """
-    files = _files(spark, path).select(F.col("path").alias("capture_id"), "content")
-    if parallelism:
-        files = files.repartition(parallelism, "capture_id")
-    return split_frames(files)
+    return ranges.frames_of(ranges.read_index(spark, path, range_bytes))
 
 
-def read_packets(spark: SparkSession, path: str) -> DataFrame:
+def read_packets(spark: SparkSession, path: str, range_bytes: int = ranges.RANGE_BYTES) -> DataFrame:
+    """Packets of all capture files under ``path``; frames without a time are left out, as no operator can place them."""
     from wiretally.operators.packets import decode_packets
-    return decode_packets(read_frames(spark, path))
+    return decode_packets(read_frames(spark, path, range_bytes).filter(F.col("ts_us").isNotNull()))
 
 
 def capture_catalog(files: DataFrame) -> DataFrame:
@@ -110,13 +58,30 @@ def capture_catalog(files: DataFrame) -> DataFrame:
     ``files`` has path, content (as from the binaryFile source); the content is
     digested before the shuffle and never moves.
     """
-    digest = files.select("path", F.octet_length("content").cast("long").alias("bytes"), F.sha2("content", 256).alias("sha256"))
-    return digest.groupBy("sha256").agg(F.min("path").alias("path"), F.first("bytes").alias("bytes")).withColumn(
+    return _catalog(files.select("path", F.octet_length("content").cast("long").alias("bytes"), F.sha2("content", 256).alias("sha256")))
+
+
+def _catalog(digests: DataFrame) -> DataFrame:
+    return digests.groupBy("sha256").agg(F.min("path").alias("path"), F.first("bytes").alias("bytes")).withColumn(
         "stored_name", F.concat("sha256", F.lit(".pcapng")))
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
-    return capture_catalog(_files(spark, path))
+    """The catalogue of all files under ``path``; a file of any size is digested block by block."""
+    spark.dataSource.register(ranges.CaptureRanges)
+    names = spark.read.format("capture_ranges").load(path).where("range_no = 0").select("path", "bytes")
+
+    def body(batches):
+        for pdf in batches:
+            digests = []
+            for name in pdf["path"]:
+                src, sha = ranges.Remote(name), hashlib.sha256()
+                for at in range(0, src.size, ranges.BLOCK_BYTES):
+                    sha.update(src.get(at, min(ranges.BLOCK_BYTES, src.size - at)))
+                digests.append(sha.hexdigest())
+            yield pdf.assign(sha256=digests)
+
+    return _catalog(names.mapInPandas(body, "path string, bytes long, sha256 string"))
 
 
 def merge_parts(frames: DataFrame, session="session_id", part="part_no", width: int = 1_000_000) -> DataFrame:
