@@ -163,6 +163,43 @@ def trailing(changes, keys, ts: str, names, extra=()) -> DataFrame:
             .filter("_real").drop("_real"))
 
 
+def trailing_rows(df: DataFrame, keys, ts: str, span: int, width: int, count: str = None, distinct: dict = None) -> DataFrame:
+    """Every row of ``df`` with values over the trailing ``span`` of its key, at its own timestamp (ties included).
+
+    ``count`` names the number of rows; ``distinct`` maps names to (columns, condition) for the number of
+    different values among the rows that meet the condition. One shuffle by (key, chunk) serves all of
+    them: a row enters its chunk with +1 and leaves behind marks with -1 where it, or the value it
+    shows, is no longer within the span.
+    """
+    keys, distinct = as_list(keys), distinct or {}
+    cols = df.columns
+    halo = with_time_halo(df, ts, span, width).repartition(*keys, "_chunk")
+    gone = F.col(ts) + span + 1
+    one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
+    seen, ends = {}, {}
+    for i, (name, (values, where)) in enumerate(distinct.items()):
+        halo = halo.withColumn(f"_in{i}", F.coalesce(where, F.lit(False)))
+        again = Window.partitionBy(*keys, "_chunk", f"_in{i}", *as_list(values)).orderBy(ts)
+        halo = halo.withColumn(f"_end{i}", F.least(F.coalesce(F.lead(ts).over(again), gone), gone))
+        seen[name], ends[name] = F.col(f"_in{i}"), F.col(f"_end{i}")
+    names = ([count] if count else []) + list(distinct)
+
+    def mark(at, real, changes):
+        own = [F.when(F.lit(real), F.col(f"`{c}`")).alias(c) for c in cols]
+        return F.struct(at.alias("_at"), (~F.col("_halo") if real else F.lit(False)).alias("_real"),
+                        *[changes.get(n, zero).alias(f"_d_{n}") for n in names], *own)
+
+    came = {n: F.when(seen[n], one).otherwise(zero) for n in distinct} | ({count: one} if count else {})
+    left = {n: F.when(seen[n] & (ends[n] == gone), -one).otherwise(zero) for n in distinct} | ({count: -one} if count else {})
+    marks = [mark(F.col(ts), True, came), mark(gone, False, left)]
+    marks += [F.when(seen[n] & (ends[n] < gone), mark(ends[n], False, {n: -one})) for n in distinct]
+    rows = halo.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_chunk", F.explode(F.filter(F.array(*marks), lambda m: m.isNotNull() & (m["_at"] < F.col("_chunk") + width))).alias("_m"))
+    rows = rows.select(*[f"_k_{k}" for k in keys], "_chunk", "_m.*")
+    upto = Window.partitionBy(*[f"_k_{k}" for k in keys], "_chunk").orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    return (rows.withColumns({n: F.sum(f"_d_{n}").over(upto) for n in names}).filter("_real")
+            .select("_chunk", *[F.col(f"`{c}`") for c in cols], *names))
+
+
 # --- anchored windows -------------------------------------------------------
 #
 # The first timestamp of a key is an anchor; the next anchor is the first

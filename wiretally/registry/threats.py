@@ -128,7 +128,7 @@ query("k10_features_beaconing", f"""WITH {BEACON} SELECT packet_no, round(m, 6)
     lambda p: th.detector_features(p, "beaconing").drop("ts_us", "src", "dst"))
 query("k10_features_encrypted_malware", """SELECT packet_no, CAST(0 AS DOUBLE) AS interval_mean, CAST(1 AS DOUBLE) AS interval_cv, CAST(1 AS DOUBLE) AS observations, CAST(1 AS DOUBLE) AS tls, CAST(0 AS DOUBLE) AS quic,
       CAST(0 AS DOUBLE) AS tls_version, CAST(0 AS DOUBLE) AS quic_version, CAST(0 AS DOUBLE) AS handshake_len, CAST(0 AS DOUBLE) AS cipher_count, CAST(0 AS DOUBLE) AS sni_length, CAST(0 AS DOUBLE) AS extension_count FROM beacon_fx WHERE tls""", ["beacon_fx"])(
-    lambda p: th.detector_features(p, "encrypted_malware").drop("ts_us", "src", "dst"))
+    lambda p: th.detector_features(p, "encrypted_malware", periodic=False).drop("ts_us", "src", "dst"))
 
 
 @query("k11_detect_all", f"""WITH RECURSIVE {DDOS}, {SCAN},
