@@ -1,5 +1,7 @@
 """Trailing-window, flow and detector queries."""
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from wiretally.operators import scan
@@ -131,19 +133,95 @@ query("k10_features_encrypted_malware", """SELECT packet_no, CAST(0 AS DOUBLE) A
     lambda p: th.detector_features(p, "encrypted_malware", periodic=False).drop("ts_us", "src", "dst"))
 
 
-@query("k11_detect_all", f"""WITH RECURSIVE {DDOS}, {SCAN},
-    pf AS (SELECT *, {FLOW_ID_SQL} AS flow_id, {OUT} AS o, {IN} AS i FROM packets_fx),
-    pg AS (SELECT *, ts_us - lag(ts_us) OVER (PARTITION BY flow_id ORDER BY ts_us) AS gap FROM pf),
-    ps AS (SELECT *, (ts_us - lag(ts_us) OVER p)/1e6 AS pgap, row_number() OVER p AS rn FROM pg WHERE (gap IS NULL OR gap > 60000000) AND o WINDOW p AS (PARTITION BY src, dst, dport, ip_proto ORDER BY ts_us, packet_no)),
-    pb AS (SELECT *, avg(pgap) OVER q AS m, stddev_pop(pgap) OVER q AS s FROM ps WINDOW q AS (PARTITION BY src, dst, dport, ip_proto ORDER BY ts_us, packet_no ROWS BETWEEN 10 PRECEDING AND CURRENT ROW)),
+#: The four packet views as one network on one clock; numbers and times are moved apart so that no two packets tie.
+TRAFFIC = {"packets_fx": ("packet_no*4", "ts_us*4"), "dns_fx": ("packet_no*4 + 1", "ts_us*4 + 1"), "flow_fx": ("packet_no*4 + 2", "ts_us*4 + 2"), "beacon_fx": ("packet_no*4 + 3", "ts_us*4 + 3")}
+_DNS, _TLS = ("qname", "qtype", "rcode"), ("tls", "quic")
+
+
+def _part(name, cast="BIGINT"):
+    number, time = TRAFFIC[name]
+    fields = [f"CAST({c} AS {cast}) AS {c}" for c in ("sport", "dport", "ip_proto", "length", "tcp_flags")]
+    if name == "dns_fx":
+        fields[3:] = [f"CAST(80 AS {cast}) AS length", f"CAST(0 AS {cast}) AS tcp_flags"]
+    text = [c if name == "dns_fx" and c == "qname" else f"CAST({c if name == 'dns_fx' else 'NULL'} AS {'VARCHAR' if c == 'qname' else cast}) AS {c}" for c in _DNS]
+    flags = [c if name == "beacon_fx" else f"false AS {c}" for c in _TLS]
+    return f"SELECT {number} AS packet_no, {time} AS ts_us, src, dst, {', '.join(fields + text + flags)} FROM {name}"
+
+
+TRAFFIC_SQL = "all_p AS (" + " UNION ALL ".join(_part(n) for n in TRAFFIC) + "), all_d AS (SELECT * FROM all_p WHERE qname IS NOT NULL)"
+
+
+def traffic(*views):
+    """The same network as a DataFrame, one of all four views."""
+    spark = views[0].sparkSession
+    named = dict(zip(TRAFFIC, views))
+    parts = [spark.sql(_part(n, "LONG").replace("VARCHAR", "STRING").replace(f"FROM {n}", "FROM {part}"), part=df) for n, df in named.items()]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def _over(sql, **tables):
+    for name, new in tables.items():
+        sql = sql.replace(name, new)
+    return sql
+
+
+def triggers_sql(extra=""):
+    """Triggers of all seven detectors over all_p, as (k, ts_us, flow_id, threat_class, confidence)."""
+    flow, beacon = _over(EXF, flow_fx="all_p"), _over(BEACON, beacon_fx="all_p")
+    tunnel = _over(TUN, dns_fx="all_d").replace("lb AS", "lt AS").replace("FROM lb", "FROM lt")
+    return f"""{TRAFFIC_SQL}, {_over(DDOS, packets_fx="all_p")}, {_over(SCAN, packets_fx="all_p")}, {_over(DGA, dns_fx="all_d")}, {tunnel}, {flow}, {beacon},
     trig AS (SELECT concat('dst:', dst, '|ddos') AS k, ts_us, {FLOW_ID_SQL} AS flow_id, 'ddos' AS threat_class, round(least(0.99, n/200), 4) AS confidence FROM dt
       UNION ALL SELECT concat(flow_id, '|scan'), ts_us, flow_id, 'port_scan', round(least(0.99, targets/30), 4) FROM sc
-      UNION ALL SELECT concat(flow_id, '|beacon'), ts_us, flow_id, 'beaconing', 0.85 FROM pb WHERE rn >= 4 AND m >= 2 AND s/m <= 0.15),
-    {cool('trig', 'k')}
-    SELECT concat('al_', substr(sha256(concat(flow_id, ':', threat_class, ':', kept.ts_us//1000000)), 1, 24)) AS id, kept.ts_us/1e6 AS timestamp, flow_id, threat_class, confidence
-    FROM kept JOIN trig ON trig.k = kept.k AND trig.ts_us = kept.ts_us""", ["packets_fx"])
-def _k11(p):
-    return th.detect_all(p).select("id", "timestamp", "flow_id", "threat_class", "confidence")
+      UNION ALL SELECT concat(flow_id, '|dga'), ts_us, flow_id, 'dga', round(conf, 4) FROM dg
+      UNION ALL SELECT concat(flow_id, '|tunnel'), ts_us, flow_id, 'dns_tunneling', 0.82 FROM tn
+      UNION ALL SELECT concat(flow_id, '|exf'), ts_us, flow_id, 'data_exfiltration', round(least(0.95, ratio/40), 4) FROM ex
+      UNION ALL SELECT concat(flow_id, '|beacon'), ts_us, flow_id, 'beaconing', 0.85 FROM bt
+      UNION ALL SELECT concat(flow_id, '|malware'), ts_us, flow_id, 'encrypted_malware', 0.75 FROM bt WHERE tls OR quic{extra})"""
+
+
+def alerts_sql(extra=""):
+    return f"""WITH RECURSIVE {triggers_sql(extra)}, {cool('trig', 'k')}
+    SELECT DISTINCT concat('al_', substr(sha256(concat(flow_id, ':', threat_class, ':', kept.ts_us//1000000)), 1, 24)) AS id, kept.ts_us/1e6 AS timestamp, flow_id, threat_class, confidence
+    FROM kept JOIN trig ON trig.k = kept.k AND trig.ts_us = kept.ts_us"""
+
+
+@query("k11_detect_all", alerts_sql(), list(TRAFFIC))
+def _k11(*views):
+    p = traffic(*views)
+    return th.detect_all(p.drop(*_DNS, *_TLS), p.filter("qname IS NOT NULL"), p.filter("tls OR quic").select("packet_no", *_TLS)).select(
+        "id", "timestamp", "flow_id", "threat_class", "confidence")
+
+
+# Scores that stand in for four models: of names, of rhythms, of handshakes in a rhythm and of handshakes alone.
+SCORE = {"dga": "CAST(60 + packet_no % 41 AS DOUBLE)/100", "dns_tunneling": "CAST(50 + packet_no % 47 AS DOUBLE)/100", "beaconing": "CAST(55 + packet_no % 43 AS DOUBLE)/100",
+         "encrypted_malware": "CAST(65 + packet_no % 31 AS DOUBLE)/100", "handshake": "CAST(70 + packet_no % 29 AS DOUBLE)/100"}
+
+
+def _scored_sql():
+    sql = alerts_sql(f"""
+      UNION ALL SELECT concat({FLOW_ID_SQL}, '|malware'), ts_us, {FLOW_ID_SQL}, 'encrypted_malware', round({SCORE['handshake']}, 4) FROM all_p WHERE (tls OR quic) AND {SCORE['handshake']} >= 0.9""")
+    # Without heuristics: every name is judged by its score, every rhythm of four starts or more by its.
+    sql = sql.replace("least(0.9, ent/5) AS conf FROM le WHERE len(lab) >= 18 AND ent >= 3.5 AND least(0.9, ent/5) >= 0.75", f"{SCORE['dga']} AS conf FROM le WHERE {SCORE['dga']} >= 0.75")
+    start = sql.index("tn AS (SELECT")
+    end = sql.index("queries_30s >= 3)", start) + len("queries_30s >= 3)")
+    sql = sql[:start] + f"tn AS (SELECT *, {FLOW_ID_SQL} AS flow_id, {SCORE['dns_tunneling']} AS conf FROM lt WHERE {SCORE['dns_tunneling']} >= 0.75)" + sql[end:]
+    sql = sql.replace("'dns_tunneling', 0.82 FROM tn", "'dns_tunneling', round(conf, 4) FROM tn")
+    sql = sql.replace("bt AS (SELECT * FROM bs WHERE obs >= 4 AND m >= 2 AND CASE WHEN m > 0 THEN s/m ELSE 1 END <= 0.15)",
+                      f"bt AS (SELECT *, {SCORE['beaconing']} AS conf_b, {SCORE['encrypted_malware']} AS conf_m FROM bs WHERE obs >= 4 AND {SCORE['beaconing']} >= 0.75)")
+    sql = sql.replace("'beaconing', 0.85 FROM bt", "'beaconing', round(conf_b, 4) FROM bt")
+    return sql.replace("'encrypted_malware', 0.75 FROM bt WHERE tls OR quic", f"'encrypted_malware', round(conf_m, 4) FROM bt WHERE (tls OR quic) AND conf_m >= 0.75 AND {SCORE['handshake']} < 0.9")
+
+
+def score_tables(p):
+    """Scores per packet and task, with a model's name."""
+    return {task: p.select("packet_no", F.expr(text).alias("score"), F.lit(f"{task}-v1").alias("model_version")) for task, text in SCORE.items()}
+
+
+@query("k11_with_scores", _scored_sql(), list(TRAFFIC))
+def _k11_scored(*views):
+    p = traffic(*views)
+    found = th.detect_all(p.drop(*_DNS, *_TLS), p.filter("qname IS NOT NULL"), p.filter("tls OR quic").select("packet_no", *_TLS), scores=score_tables(p))
+    return found.select("id", "timestamp", "flow_id", "threat_class", "confidence")
 
 
 @query("t4_alert_feed", f"""WITH RECURSIVE {BEACON}, {cool('bt', 'flow_id')}
