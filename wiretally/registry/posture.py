@@ -147,9 +147,10 @@ SLICE_SQL = f"""WITH {STRUCTURE_SQL},
 
 query("i9_sa_evidence", SLICE_SQL + " SELECT analysis_id, spi, enc, enc_conf, integ, rekey_interval_s, CAST(replay_window AS BIGINT) AS replay_window, esn FROM flat", ["esp_fx"])(
     lambda e: analysis.analyse_esp(e, RULES)["sas"].select("analysis_id", "spi", "enc", "enc_conf", "integ", "rekey_interval_s", "replay_window", "esn"))
-query("entry_esp_posture", SLICE_SQL + f""", padded AS (SELECT analysis_id, severity, likelihood, confidence FROM hits
+POSTURE_SQL = SLICE_SQL + f""", padded AS (SELECT analysis_id, severity, likelihood, confidence FROM hits
       UNION ALL SELECT DISTINCT analysis_id, 'info', 0, 0 FROM flat), {SCORE_SQL.format(by='analysis_id', src='padded')}
-    SELECT *, {GRADE.format('security_score')} AS grade FROM scored""", ["esp_fx"])(
+    SELECT *, {GRADE.format('security_score')} AS grade FROM scored"""
+query("entry_esp_posture", POSTURE_SQL, ["esp_fx"])(
     lambda e: analysis.analyse_esp(e, RULES)["posture"])
 
 
