@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from wiretally import constants as C
 from wiretally.operators import sa
-from wiretally.plans import analysis, inference, posture
+from wiretally.plans import analysis, inference, posture, serving
 from wiretally.registry.base import query
 from wiretally.registry.features import STRUCTURE_SQL
 
@@ -147,6 +147,51 @@ SLICE_SQL = f"""WITH {STRUCTURE_SQL},
 
 query("i9_sa_evidence", SLICE_SQL + " SELECT analysis_id, spi, enc, enc_conf, integ, rekey_interval_s, CAST(replay_window AS BIGINT) AS replay_window, esn FROM flat", ["esp_fx"])(
     lambda e: analysis.analyse_esp(e, RULES)["sas"].select("analysis_id", "spi", "enc", "enc_conf", "integ", "rekey_interval_s", "replay_window", "esn"))
+# Probabilities that stand in for served heads, from the SPI and the window; the other side of each is the rest to one.
+HEADS = {"mode": ("transport", "tunnel", "CAST(spi % 11 AS DOUBLE)/10.5"), "cipher": ("AES-CBC", "AES-GCM-16", "CAST(spi % 13 AS DOUBLE)/12.5"),
+         "pfs": ("false", "true", "CAST(spi % 7 AS DOUBLE)/6.5"), "dh_group": ("14", "19", "CAST(spi % 9 AS DOUBLE)/8.5")}
+TRAFFIC_HEAD = ("bulk", "web", "CAST((spi + win_us/5000000) % 17 AS DOUBLE)/16.5")
+Q = 0.4
+
+
+def _head(no, yes, text):
+    p = F.expr(text.replace("win_us/5000000", "win_us div 5000000"))
+    return serving.Head(lambda df: df.withColumn("probs", F.array(1 - p, p)), [no, yes], Q, "v1")
+
+
+def _pick(no, yes, text, name):
+    size = f"(CASE WHEN p{name} >= 1.0 - {Q} THEN 1 ELSE 0 END + CASE WHEN 1 - p{name} >= 1.0 - {Q} THEN 1 ELSE 0 END)"
+    return (f"CASE WHEN p{name} > 1 - p{name} THEN '{yes}' ELSE '{no}' END AS {name}_pred, greatest(p{name}, 1 - p{name}) / greatest({size}, 1) AS {name}_p")
+
+
+_SERVED = ", ".join(f"{h[2]} AS p{n}" for n, h in HEADS.items())
+SCORES_SQL = f"""{SLICE_SQL}, hp AS (SELECT DISTINCT capture_id, spi, {_SERVED} FROM esp_fx),
+    hs AS (SELECT capture_id AS analysis_id, spi, {', '.join(_pick(*h, n) for n, h in HEADS.items())} FROM hp),
+    wp AS (SELECT *, {TRAFFIC_HEAD[2].replace('win_us/5000000', 'win_us//5000000')} AS pw FROM (SELECT DISTINCT capture_id, spi, ts_us - ts_us % 5000000 AS win_us FROM esp_fx)),
+    ws AS (SELECT *, {_pick(*TRAFFIC_HEAD, 'w')}, list_filter([CASE WHEN pw >= 1.0 - {Q} THEN 'web' END, CASE WHEN 1 - pw >= 1.0 - {Q} THEN 'bulk' END], lambda x: x IS NOT NULL) AS s0 FROM wp),
+    wv AS (SELECT capture_id, spi, w_pred, count(*) AS n, avg(w_p) AS p, min(win_us) AS first FROM ws GROUP BY 1, 2, 3),
+    wt AS (SELECT capture_id AS analysis_id, spi, arg_max(w_pred, (n, -first)) AS top, arg_max(p, (n, -first)) AS p FROM wv GROUP BY 1, 2),
+    wu AS (SELECT analysis_id, spi, array_to_string(list_sort(list(DISTINCT c)), ',') AS sets FROM (SELECT capture_id AS analysis_id, spi, unnest(CASE WHEN len(s0) > 0 THEN s0 ELSE [w_pred] END) AS c FROM ws) GROUP BY 1, 2),
+    rk AS (SELECT DISTINCT capture_id AS analysis_id, CAST(right(capture_id, 1) AS INT) % 2 AS rekeyed FROM esp_fx)
+    SELECT analysis_id, spi, mode_pred AS mode, round(mode_p, 6) AS mode_conf, cipher_pred AS enc, round(cipher_p, 6) AS enc_conf, integ,
+      CASE WHEN rekeyed = 1 THEN pfs_pred = 'true' END AS pfs, CASE WHEN rekeyed = 1 THEN dh_group_pred END AS dh_group,
+      top AS traffic_top, round(wt.p, 4) AS traffic_confidence, sets AS conformal_set
+    FROM flat JOIN hs USING (analysis_id, spi) JOIN wt USING (analysis_id, spi) JOIN wu USING (analysis_id, spi) JOIN rk USING (analysis_id)"""
+
+
+@query("i9_with_scores", SCORES_SQL, ["esp_fx"])
+def _i9_scored(e):
+    """Every head served: SA scores and window votes flow into the evidence; rekeys open pfs and dh_group in half of the captures."""
+    heads = {n: _head(*h) for n, h in HEADS.items()} | {"traffic": _head(*TRAFFIC_HEAD)}
+    cut = e.select("capture_id", "spi", (F.col("ts_us") - F.pmod("ts_us", F.lit(5_000_000))).alias("win_us")).distinct()
+    rekeys = e.select("capture_id").distinct().withColumn("rekey_count", F.substring("capture_id", -1, 1).cast("long") % 2)
+    traffic = serving.traffic_of(serving.score_windows(cut, heads))
+    out = analysis.analyse_esp(e, RULES, rekeys=rekeys, scores=serving.score_sas(e.select("capture_id", "spi").distinct(), heads), traffic=traffic)
+    sets = out["evidence"].select(F.col("capture_id").alias("analysis_id"), "spi", F.array_join("conformal_set", ",").alias("conformal_set"))
+    return out["sas"].join(sets, ["analysis_id", "spi"]).select("analysis_id", "spi", "mode", "mode_conf", "enc", "enc_conf", "integ", "pfs", "dh_group",
+                                                               "traffic_top", "traffic_confidence", "conformal_set")
+
+
 POSTURE_SQL = SLICE_SQL + f""", padded AS (SELECT analysis_id, severity, likelihood, confidence FROM hits
       UNION ALL SELECT DISTINCT analysis_id, 'info', 0, 0 FROM flat), {SCORE_SQL.format(by='analysis_id', src='padded')}
     SELECT *, {GRADE.format('security_score')} AS grade FROM scored"""
