@@ -200,6 +200,27 @@ def trailing_rows(df: DataFrame, keys, ts: str, span: int, width: int, count: st
             .select("_chunk", *[F.col(f"`{c}`") for c in cols], *names))
 
 
+def running_over_all(df: DataFrame, order, columns: dict) -> DataFrame:
+    """Running sums over the whole table in ``order``, current row included; ``columns`` maps new names to columns.
+
+    Rows are cut into ranges at sampled quantiles, so a range holds about its share wherever the values
+    crowd. Sums run within a range; what the ranges before it hold is one row per range, added up on
+    the driver. The ranges are written once, since they are read for both.
+    """
+    order = as_list(order)
+    cut = stage(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    totals = cut.groupBy("_part").agg(*[F.sum(c).alias(f"_t_{new}") for new, c in columns.items()]).orderBy("_part").collect()
+    rows, so_far = [], [0] * len(columns)
+    for r in totals:
+        rows.append((r["_part"], *so_far))
+        so_far = [a + (r[f"_t_{new}"] or 0) for a, new in zip(so_far, columns)]
+    kinds = {new: df.select(F.sum(c).alias("s")).schema["s"].dataType.simpleString() for new, c in columns.items()}
+    before = df.sparkSession.createDataFrame(rows, "_part int, " + ", ".join(f"_c_{new} {k}" for new, k in kinds.items()))
+    upto = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (cut.join(before, "_part").withColumns({new: F.sum(c).over(upto) + F.col(f"_c_{new}") for new, c in columns.items()})
+            .drop("_part", *[f"_c_{new}" for new in columns]))
+
+
 # --- anchored windows -------------------------------------------------------
 #
 # The first timestamp of a key is an anchor; the next anchor is the first

@@ -188,8 +188,10 @@ query("v1_check_binary_label", "SELECT event_id AS row_no, event_id % 3 AS label
     lambda d: mt.check_binary_label(d.withColumn("label", F.col("row_no") % 3)).select("row_no", "label"))
 query("v2_conflicting_labels", """SELECT domain, CAST(count(*) AS BIGINT) AS rows FROM domains_fx GROUP BY 1 HAVING count(DISTINCT (row_no % 7) % 2) > 1""", ["domains_fx"])(
     lambda d: mt.conflicting_labels(d.withColumn("label", (F.col("row_no") % 7) % 2)))
-query("v3_head_gate", """WITH d AS (SELECT * FROM scored_fx WHERE label IS NOT NULL AND rekey_count > 0)
-    SELECT CAST(count(*) AS BIGINT) AS rows, CAST(count(DISTINCT label) AS BIGINT) AS classes, count(*) >= 100 AND count(DISTINCT label) >= 2 AS trainable FROM d""", ["scored_fx"])(
+query("v3_head_gate", """WITH d AS (SELECT * FROM scored_fx WHERE label IS NOT NULL AND rekey_count > 0), c AS (SELECT label, count(DISTINCT profile) AS seen FROM d GROUP BY 1)
+    SELECT *, rows >= 100 AND classes >= 2 AND profiles >= 5 AND (classes <> 2 OR least_profiles >= 4) AS trainable FROM (
+      SELECT CAST(count(*) AS BIGINT) AS rows, CAST(count(DISTINCT label) AS BIGINT) AS classes, CAST((SELECT coalesce(min(seen), 0) FROM c) AS BIGINT) AS least_profiles,
+        CAST(count(DISTINCT profile) AS BIGINT) AS profiles FROM d)""", ["scored_fx"])(
     lambda s: mt.head_gate(s, rekey_only=True))
 query("v4_threat_gate", """SELECT CAST(count(*) AS BIGINT) AS rows, CAST(count(DISTINCT scenario_id) AS BIGINT) AS scenarios, count(DISTINCT label) = 2 AS both_labels,
       count(*) >= 200 AND count(DISTINCT scenario_id) >= 5 AND count(DISTINCT label) = 2 AS trainable FROM domains_fx""", ["domains_fx"])(mt.threat_gate)

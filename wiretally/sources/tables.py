@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wiretally import constants as C
+from wiretally.session import stage
 
 CHILD = "struct<mode:string,enc:string,key_bits:int,integ:string,dh_group:int,spis:array<string>,name:string>"
 MANIFEST_SCHEMA = f"""session_id string, profile string, traffic_type string, start string, end string, gateways array<string>,
@@ -71,12 +72,31 @@ def new_alerts(alerts: DataFrame, stored: DataFrame = None) -> DataFrame:
     return first if stored is None else first.join(stored.select("id"), "id", "left_anti")
 
 
-def append_alerts(alerts: DataFrame, path: str) -> None:
-    """Insert-or-ignore by alert id."""
-    spark = alerts.sparkSession
-    fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    stored = spark.read.parquet(path) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(path)) else None
-    new_alerts(alerts, stored).write.mode("append").parquet(path)
+def _with_day(alerts: DataFrame) -> DataFrame:
+    return alerts.withColumn("day", F.floor(F.col("timestamp") / 86400).cast("long"))
+
+
+def read_alerts(spark: SparkSession, path: str, days=None) -> DataFrame:
+    """Stored alerts with their ``day`` (whole days since 1970), all or those of ``days``; None where there are none."""
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    fs = place(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if days is None:
+        return spark.read.parquet(path) if fs.exists(place(path)) else None
+    paths = [f"{path}/day={d}" for d in days if fs.exists(place(f"{path}/day={d}"))]
+    return spark.read.option("basePath", path).parquet(*paths) if paths else None
+
+
+def append_alerts(alerts: DataFrame, path: str) -> DataFrame:
+    """Insert-or-ignore by alert id; returns what was new.
+
+    An id holds the alert's second, so a stored alert of that id lies in the same day: alerts are stored by
+    day, and an append reads the ids of the days it writes. An append that is run again adds nothing.
+    """
+    rows = stage(_with_day(alerts))
+    days = [r["day"] for r in rows.select("day").distinct().collect()]
+    fresh = stage(new_alerts(rows, read_alerts(alerts.sparkSession, path, days)))
+    fresh.write.mode("append").partitionBy("day").parquet(path)
+    return fresh
 
 
 REPORT_SCHEMA = """analysis_id string, security_score double, risk_score double, ai_confidence double,
