@@ -34,7 +34,24 @@ def _spi(value: Column) -> Column:
     return F.when(digits != "", F.concat(F.lit("0x"), F.lpad(F.lower(digits), 8, "0")))
 
 
-HEADER = r"(?i)^\s*\S+:\s*#\d+.*\bINSTALLED,\s*(TUNNEL|TRANSPORT),\s*(ESP|AH):([^\n]+)"
+def _status_fields(line: Column) -> dict:
+    """What one line of a status text says, read field by field.
+
+    An SA's line is ``name: #number, field, field, ...``; an installed child's ends in its state, its mode
+    and ``protocol:proposal``. A line of an SPI is ``in`` or ``out`` and eight hex digits.
+    """
+    name = F.substring_index(line, ":", 1)
+    fields = F.transform(F.split(F.substring(line, F.length(name) + 2, F.length(line)), ","), lambda x: F.trim(x))
+    numbered = F.contains(line, F.lit(":")) & F.startswith(F.get(fields, F.lit(0)), F.lit("#"))
+    state = F.array_position(F.transform(fields, lambda x: F.upper(x)), "INSTALLED").cast("int")
+    mode = F.lower(F.get(fields, state))
+    last = F.array_join(F.slice(fields, state + 2, F.greatest(F.size(fields), F.lit(1))), ",")
+    protocol = F.upper(F.substring_index(last, ":", 1))
+    words = F.split(F.trim(line), r"[\s,]+")
+    spi = F.when(F.get(words, F.lit(0)).isin("in", "out") & (F.length(F.get(words, F.lit(1))) == 8), _spi(F.get(words, F.lit(1))))
+    child = numbered & (state > 0) & mode.isin("tunnel", "transport") & protocol.isin("ESP", "AH") & F.contains(last, F.lit(":"))
+    return {"child": F.coalesce(child, F.lit(False)), "mode": mode, "protocol": protocol, "proposal": F.substring(last, F.length(protocol) + 2, F.length(last)),
+            "outer": F.coalesce(numbered & (F.ltrim(line) == line), F.lit(False)), "spi": spi}
 
 
 def parse_gateway_state(df: DataFrame, key="session_id", state="sa_state") -> DataFrame:
@@ -48,18 +65,16 @@ def parse_gateway_state(df: DataFrame, key="session_id", state="sa_state") -> Da
     blank = F.struct(F.array().cast(f"array<{child}>").alias("done"), F.lit(None).cast(child).alias("open"))
 
     def step(acc, line):
-        head = line.rlike(HEADER)
-        spi = F.regexp_extract(line, r"^\s*(?:in|out)\s+([0-9a-fA-F]{8})(?:\s|,)", 1)
-        other = line.rlike(r"^\S+:\s*#")
+        said = _status_fields(line)
+        head, other, spi = said["child"], said["outer"], said["spi"]
         closed = F.when(acc["open"].isNotNull(), F.array_append(acc["done"], acc["open"])).otherwise(acc["done"])
-        fresh = F.struct(F.lower(F.regexp_extract(line, HEADER, 1)).alias("mode"),
-                         F.upper(F.regexp_extract(line, HEADER, 2)).alias("protocol"),
-                         F.regexp_extract(line, HEADER, 3).alias("proposal"), F.array().cast("array<string>").alias("spis")).cast(child)
-        grown = acc["open"].withField("spis", F.array_append(acc["open"]["spis"], _spi(spi)))
+        fresh = F.struct(said["mode"].alias("mode"), said["protocol"].alias("protocol"), said["proposal"].alias("proposal"),
+                         F.array().cast("array<string>").alias("spis")).cast(child)
+        grown = acc["open"].withField("spis", F.array_append(acc["open"]["spis"], spi))
         live = acc["open"].isNotNull()
         return F.struct(
-            F.when(head, closed).when(live & (spi == "") & other, closed).otherwise(acc["done"]).alias("done"),
-            F.when(head, fresh).when(live & (spi != ""), grown)
+            F.when(head, closed).when(live & spi.isNull() & other, closed).otherwise(acc["done"]).alias("done"),
+            F.when(head, fresh).when(live & spi.isNotNull(), grown)
             .when(live & other, F.lit(None).cast(child)).otherwise(acc["open"]).alias("open"))
 
     found = F.aggregate(F.split(state, "\n"), blank, step,
