@@ -1,6 +1,7 @@
 """SimHash near-duplicates: majority fingerprints, linked through one-wildcard segment variants."""
 
 import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -149,18 +150,42 @@ def _class(shingles: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes(), 42)).view(np.int64))
 
 
-def _prefixes(sets: DataFrame, sizes: DataFrame, similarity: float) -> DataFrame:
-    """(shingle, cls): the rarest shingles of each set, so many that two sets of ``similarity`` or more share one of them.
+#: Shingles that the common order of all sets puts last, as they are frequent; the rest stands by hash.
+FREQUENT = 200_000
 
-    Of n shingles in one order for all sets these are the first n - ceil(similarity n) + 1. Shingles
-    that only one set holds come first and meet none, so they only use up places.
+
+def _frequent(rows: DataFrame, words: int, keep: int = FREQUENT) -> np.ndarray:
+    """Shingles that many texts of one batch share, the most frequent of all batches, sorted by hash.
+
+    They only set an order (see ``_places``), in which any choice is right; so counts need not be
+    exact, and of crowds beyond ``keep`` shingles the lesser may be left out. Only what at least eight
+    texts and one in a hundred of a batch share leaves its task.
+    """
+    def run(batches):
+        for b in batches:
+            for at in range(0, len(b), 1000):
+                held = [shingle_set(t, words) for t in b["raw"].iloc[at:at + 1000]]
+                found, often = np.unique(np.concatenate(held), return_counts=True)
+                many = often >= max(8, len(held) // 100)
+                yield pd.DataFrame({"shingle": found[many], "n": often[many]})
+
+    counted = rows.mapInPandas(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    top = counted.orderBy(F.desc("n"), "shingle").limit(keep).collect()  # at most ``keep`` rows
+    return np.sort(np.array([r["shingle"] for r in top], np.int64))
+
+
+def _places(shingles: np.ndarray, frequent: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a set in one order for all sets, so many that two sets of ``similarity`` or more share one.
+
+    Of n shingles these are the first n - ceil(similarity n) + 1, in any fixed order. Frequent shingles
+    come last, so crowds around a shared passage rarely meet through it.
     """
-    held = sets.select("cls", F.explode("set").alias("shingle"))
-    often = held.groupBy("shingle").count().where("count > 1")
-    repeated = held.join(often, "shingle").groupBy("cls").agg(F.array_sort(F.collect_set(F.struct("count", "shingle"))).alias("known"))
-    places = F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1 - (F.col("n") - F.size("known"))
-    return (repeated.join(sizes, "cls").withColumn("places", places.cast("int")).where("places > 0")
-            .select("cls", F.explode(F.slice("known", F.lit(1), F.col("places"))).alias("at")).select("at.shingle", "cls"))
+    if not len(shingles):
+        return shingles
+    at = np.minimum(np.searchsorted(frequent, shingles), max(len(frequent) - 1, 0))
+    known = frequent[at] == shingles if len(frequent) else np.zeros(len(shingles), bool)
+    count = len(shingles) - int(np.ceil(similarity * len(shingles) - 1e-9)) + 1
+    return np.concatenate([shingles[~known], shingles[known]])[:count]
 
 
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, distance: int = 5, complete: bool = False) -> DataFrame:
@@ -175,17 +200,19 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, dis
     blank texts are equal; rows without a doc_id take no part.
 
     With ``complete`` no similar pair is lost: texts that share one of their rarest shingles
-    (``_prefixes``) and whose groups still differ are compared too, whatever their fingerprints.
+    (``_places``) and whose groups still differ are compared too, whatever their fingerprints.
     """
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("raw"))
+    frequent = _frequent(rows.select("raw"), words) if complete else None
 
     def sketch(batches):
         for b in batches:
             sets = [shingle_set(t, words) for t in b["raw"]]
+            b["places"] = [_places(x, frequent, similarity) if complete else x[:0] for x in sets]
             b["fp"] = np.fromiter((fingerprint(t, 1, False) for t in b["raw"]), np.int64, len(b))
             b["cls"] = np.fromiter(map(_class, sets), np.int64, len(b))
             b["n"] = np.fromiter(map(len, sets), np.int64, len(b))
-            yield b[["doc_id", "fp", "cls", "n"]]
+            yield b[["doc_id", "fp", "cls", "n", "places"]]
 
     def gather(batches):
         for b in batches:
@@ -195,7 +222,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, dis
                 part["cls"] = np.fromiter(map(_class, part["set"]), np.int64, len(part))
                 yield part[["cls", "set"]]
 
-    marks = staged(rows.mapInPandas(sketch, "doc_id long, fp long, cls long, n long"))
+    marks = staged(rows.mapInPandas(sketch, "doc_id long, fp long, cls long, n long, places array<long>"))
     classes = marks.groupBy("cls").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.min("doc_id").alias("first"))
     near = links(marks.select("fp").distinct(), distance)
     several = classes.groupBy("fp").count().where("count > 1").select(F.col("fp").alias("u"), F.col("fp").alias("v"))
@@ -203,11 +230,11 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, dis
     pairs = near.unionByName(several).join(named_side("u"), "u").join(named_side("v"), "v")
     pairs = staged(pairs.where(((F.col("u") != F.col("v")) | (F.col("uc") < F.col("vc"))) & (F.least("un", "vn") >= similarity * F.greatest("un", "vn")))
                    .select("uc", "vc", "uf", "vf"))
-    firsts = classes.select(F.col("first").alias("doc_id"))
-    wanted = (firsts if complete else pairs.select(F.explode(F.array("uf", "vf")).alias("doc_id"))).distinct()
-    sets = staged(rows.join(wanted, "doc_id", "left_semi").select("raw").mapInPandas(gather, "cls long, set array<long>"))
 
     def verified(pairs):
+        """Of pairs (uc, vc, uf, vf) of classes with a document each, the links (u, v) that are similar enough."""
+        wanted = pairs.select(F.explode(F.array("uf", "vf")).alias("doc_id")).distinct()
+        sets = staged(rows.join(wanted, "doc_id", "left_semi").select("raw").mapInPandas(gather, "cls long, set array<long>").dropDuplicates(["cls"]))
         both = (pairs.select("uc", "vc").join(sets.select(F.col("cls").alias("uc"), F.col("set").alias("us")), "uc")
                 .join(sets.select(F.col("cls").alias("vc"), F.col("set").alias("vs")), "vc"))
         common = F.size(F.array_intersect("us", "vs"))
@@ -216,15 +243,16 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, dis
 
     roots = components(verified(pairs))
     if complete:
-        nodes = classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "n", F.coalesce("root", "cls").alias("root"))
-        shared = staged(_prefixes(sets, nodes.select("cls", "n"), similarity).join(nodes, "cls"))
+        nodes = classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "n", "first", F.coalesce("root", "cls").alias("root"))
+        placed = marks.select("cls", F.explode("places").alias("shingle")).distinct()
+        shared = staged(placed.join(nodes, "cls"))
         # Where all that share a shingle are of one group already, as in a crowd of near copies, nothing is left to compare.
         mixed = shared.groupBy("shingle").agg(F.min("root").alias("a"), F.max("root").alias("z")).where("a <> z").select("shingle")
         open_ = shared.join(mixed, "shingle")
-        side = lambda a: open_.select("shingle", F.col("cls").alias(f"{a}c"), F.col("n").alias(f"{a}n"), F.col("root").alias(f"{a}r"))
+        side = lambda a: open_.select("shingle", F.col("cls").alias(f"{a}c"), F.col("n").alias(f"{a}n"), F.col("root").alias(f"{a}r"), F.col("first").alias(f"{a}f"))
         fits = F.least("un", "vn") >= similarity * F.greatest("un", "vn")
         missed = side("u").join(side("v"), "shingle").where((F.col("uc") < F.col("vc")) & (F.col("ur") != F.col("vr")) & fits)
-        found = verified(staged(missed.select("uc", "vc").distinct()))
+        found = verified(staged(missed.select("uc", "vc", "uf", "vf").distinct()))
         roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(found))
     placed = classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
