@@ -13,8 +13,8 @@ def test_similar_sets_share_a_place(similarity):
     found = 0
     for _ in range(600):
         base = np.unique(np.concatenate([rng.choice(shared, int(rng.integers(0, 200)), replace=False), rng.integers(-2**62, 2**62, int(rng.integers(1, 60)))]))
-        keep = rng.random(len(base)) > rng.random() * 0.3
-        other = np.unique(np.concatenate([base[keep], rng.integers(-2**62, 2**62, int(rng.integers(0, 6)))]))
+        keep = rng.random(len(base)) >= rng.random() * rng.choice([0, 0.3])
+        other = np.unique(np.concatenate([base[keep], rng.integers(-2**62, 2**62, int(rng.choice([0, 5])))]))
         common = len(np.intersect1d(base, other))
         if not len(other) or common < similarity * (len(base) + len(other) - common):
             continue
@@ -22,8 +22,11 @@ def test_similar_sets_share_a_place(similarity):
         for frequent in (shared, shared[::3], np.zeros(0, np.int64)):
             # Sets come in order of their unsigned hash, as ``shingle_set`` gives them.
             a, b = (np.unique(x.view(np.uint64)).view(np.int64) for x in (base, other))
-            assert len(np.intersect1d(simhash._places(a, frequent, similarity), simhash._places(b, frequent, similarity)))
-    assert found > 20
+            mine, theirs = simhash._places(a, frequent, similarity), simhash._places(b, frequent, similarity)
+            shared_places = len(np.intersect1d(mine, theirs))
+            assert shared_places
+            assert shared_places + max(len(a) - len(mine), len(b) - len(theirs)) >= np.ceil(similarity / (1 + similarity) * (len(a) + len(b)) - 1e-9)
+    assert found > (20 if similarity < 1 else 0)
 
 
 def test_frequent_shingles_come_last():

@@ -188,6 +188,18 @@ def _places(shingles: np.ndarray, frequent: np.ndarray, similarity: float) -> np
     return np.concatenate([shingles[~known], shingles[known]])[:count]
 
 
+def _may_reach(similarity: float):
+    """Whether sets of ``un`` and ``vn`` shingles with ``common`` places in common can be similar enough.
+
+    Of the set whose last place comes first in the order, every shingle that the other has among its
+    own places counts in ``common``; the most that can follow is all behind its places. So the common
+    shingles are at most ``common`` and what lies behind the places of one of the sets.
+    """
+    behind = lambda n: F.ceil(similarity * F.col(n) - 1e-9) - 1
+    needed = F.ceil(similarity / (1 + similarity) * (F.col("un") + F.col("vn")) - 1e-9)
+    return F.col("common") + F.greatest(behind("un"), behind("vn")) >= needed
+
+
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, distance: int = 5, complete: bool = False) -> DataFrame:
     """Group of every document with a doc_id: (doc_id, component_id), for verified near-duplicates.
 
@@ -234,7 +246,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, dis
     def verified(pairs):
         """Of pairs (uc, vc, uf, vf) of classes with a document each, the links (u, v) that are similar enough."""
         wanted = pairs.select(F.explode(F.array("uf", "vf")).alias("doc_id")).distinct()
-        sets = staged(rows.join(wanted, "doc_id", "left_semi").select("raw").mapInPandas(gather, "cls long, set array<long>").dropDuplicates(["cls"]))
+        sets = staged(rows.join(wanted, "doc_id", "left_semi").select("raw").mapInPandas(gather, "cls long, set array<long>"))
         both = (pairs.select("uc", "vc").join(sets.select(F.col("cls").alias("uc"), F.col("set").alias("us")), "uc")
                 .join(sets.select(F.col("cls").alias("vc"), F.col("set").alias("vs")), "vc"))
         common = F.size(F.array_intersect("us", "vs"))
@@ -244,15 +256,16 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, dis
     roots = components(verified(pairs))
     if complete:
         nodes = classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "n", "first", F.coalesce("root", "cls").alias("root"))
-        placed = marks.select("cls", F.explode("places").alias("shingle")).distinct()
-        shared = staged(placed.join(nodes, "cls"))
+        prefixes = marks.groupBy("cls").agg(F.first("places").alias("places"))  # equal sets have equal places
+        shared = staged(prefixes.join(nodes, "cls").select("cls", "n", "first", "root", F.explode("places").alias("shingle")))
         # Where all that share a shingle are of one group already, as in a crowd of near copies, nothing is left to compare.
         mixed = shared.groupBy("shingle").agg(F.min("root").alias("a"), F.max("root").alias("z")).where("a <> z").select("shingle")
         open_ = shared.join(mixed, "shingle")
         side = lambda a: open_.select("shingle", F.col("cls").alias(f"{a}c"), F.col("n").alias(f"{a}n"), F.col("root").alias(f"{a}r"), F.col("first").alias(f"{a}f"))
         fits = F.least("un", "vn") >= similarity * F.greatest("un", "vn")
-        missed = side("u").join(side("v"), "shingle").where((F.col("uc") < F.col("vc")) & (F.col("ur") != F.col("vr")) & fits)
-        found = verified(staged(missed.select("uc", "vc", "uf", "vf").distinct()))
+        met = side("u").join(side("v"), "shingle").where((F.col("uc") < F.col("vc")) & (F.col("ur") != F.col("vr")) & fits)
+        missed = met.groupBy("uc", "vc", "un", "vn", "uf", "vf").agg(F.count(F.lit(1)).alias("common")).where(_may_reach(similarity))
+        found = verified(staged(missed.select("uc", "vc", "uf", "vf")))
         roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(found))
     placed = classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
