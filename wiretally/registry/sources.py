@@ -35,7 +35,8 @@ def _ranges(spark, d):
     folder = f"{checkpoint_folder(spark).rstrip('/')}/captures-{uuid.uuid4().hex}"
     stage(ranges.write_frames(_frames(spark, d).orderBy("ts_us"), folder))
     frames = stage(captures.read_frames(spark, folder, 1 << 16))
-    parts = frames.select("*", F.regexp_extract("capture_id", "part-([0-9]+)", 1).cast("int").alias("part_no"), F.lit(0).alias("session_id"))
+    parts = frames.select("*", F.regexp_extract("capture_id", "part-([0-9]+)", 1).cast("int").alias("part_no"),
+                          F.regexp_extract("capture_id", "captures-([0-9a-f]+)", 1).alias("session_id"))
     return captures.merge_parts(parts).select("ts_us", "linktype", F.col("packet_no").alias("place"))
 
 
