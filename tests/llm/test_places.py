@@ -25,6 +25,8 @@ def test_similar_sets_share_a_place(similarity):
             mine, theirs = simhash._places(a, frequent, similarity), simhash._places(b, frequent, similarity)
             shared_places = len(np.intersect1d(mine, theirs))
             assert shared_places
+            apart = sum(int(x).bit_count() for x in simhash._parity(a).view(np.uint64) ^ simhash._parity(b).view(np.uint64))
+            assert len(a) + len(b) - apart >= 2 * np.ceil(similarity / (1 + similarity) * (len(a) + len(b)) - 1e-9)
             assert shared_places + max(len(a) - len(mine), len(b) - len(theirs)) >= np.ceil(similarity / (1 + similarity) * (len(a) + len(b)) - 1e-9)
     assert found > (20 if similarity < 1 else 0)
 
@@ -40,3 +42,25 @@ def test_frequent_shingles_of_texts(spark):
     rows = [(f"{line} {' '.join(f'w{i}x{j}' for j in range(20))}".encode(),) for i in range(200)]
     found = simhash._frequent(spark.createDataFrame(rows, "raw binary"), 5)
     assert found.tolist() == sorted(simhash.shingle_set(line.encode()).tolist())
+
+
+def test_a_crowd_makes_few_pairs(spark, monkeypatch):
+    """Near copies of one text: a star of candidates, one group."""
+    rng, made = np.random.default_rng(3), []
+    base = [f"w{i}" for i in range(300)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 200):
+        words = list(base)
+        words[int(rng.integers(300))] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    staged = simhash.staged
+
+    def counted(df):
+        out = staged(df)
+        if out.columns == ["uc", "vc", "uf", "vf"]:
+            made.append(out.count())
+        return out
+    monkeypatch.setattr(simhash, "staged", counted)
+    got = simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), complete=True).collect()
+    assert {r["component_id"] for r in got} == {0} and len(got) == 200
+    assert sum(made) <= 2 * 200

@@ -188,6 +188,10 @@ def _places(shingles: np.ndarray, frequent: np.ndarray, similarity: float) -> np
     return np.concatenate([shingles[~known], shingles[known]])[:count]
 
 
+def _needed(similarity: float):
+    return F.ceil(similarity / (1 + similarity) * (F.col("un") + F.col("vn")) - 1e-9)
+
+
 def _may_reach(similarity: float):
     """Whether sets of ``un`` and ``vn`` shingles with ``common`` places in common can be similar enough.
 
@@ -196,8 +200,26 @@ def _may_reach(similarity: float):
     shingles are at most ``common`` and what lies behind the places of one of the sets.
     """
     behind = lambda n: F.ceil(similarity * F.col(n) - 1e-9) - 1
-    needed = F.ceil(similarity / (1 + similarity) * (F.col("un") + F.col("vn")) - 1e-9)
-    return F.col("common") + F.greatest(behind("un"), behind("vn")) >= needed
+    return F.col("common") + F.greatest(behind("un"), behind("vn")) >= _needed(similarity)
+
+
+PARITIES = 512
+
+
+def _parity(shingles: np.ndarray) -> np.ndarray:
+    """For each of ``PARITIES`` bits whether an odd number of the shingles falls on it, as longs."""
+    odd = np.bincount(shingles & (PARITIES - 1), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _parities_allow(similarity: float):
+    """Whether sets with the parities ``ub`` and ``vb`` can be similar enough; never false for sets that are.
+
+    Shingles that both sets hold leave the parities alike, so at least one shingle of a single set
+    stands behind each bit that differs.
+    """
+    apart = F.aggregate(F.zip_with("ub", "vb", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, x: n + x)
+    return F.col("un") + F.col("vn") - apart >= 2 * _needed(similarity)
 
 
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, distance: int = 5, complete: bool = False) -> DataFrame:
@@ -212,7 +234,9 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, dis
     blank texts are equal; rows without a doc_id take no part.
 
     With ``complete`` no similar pair is lost: texts that share one of their rarest shingles
-    (``_places``) and whose groups still differ are compared too, whatever their fingerprints.
+    (``_places``) and whose groups still differ are compared too, whatever their fingerprints. Each
+    text then meets only one text of its own fingerprint and one of a near fingerprint before that,
+    so a crowd of near copies makes two pairs a text.
     """
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("raw"))
     frequent = _frequent(rows.select("raw"), words) if complete else None
@@ -224,7 +248,8 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, dis
             b["fp"] = np.fromiter((fingerprint(t, 1, False) for t in b["raw"]), np.int64, len(b))
             b["cls"] = np.fromiter(map(_class, sets), np.int64, len(b))
             b["n"] = np.fromiter(map(len, sets), np.int64, len(b))
-            yield b[["doc_id", "fp", "cls", "n", "places"]]
+            b["bits"] = [_parity(x) if complete else x[:0] for x in sets]
+            yield b[["doc_id", "fp", "cls", "n", "places", "bits"]]
 
     def gather(batches):
         for b in batches:
@@ -234,14 +259,24 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, dis
                 part["cls"] = np.fromiter(map(_class, part["set"]), np.int64, len(part))
                 yield part[["cls", "set"]]
 
-    marks = staged(rows.mapInPandas(sketch, "doc_id long, fp long, cls long, n long, places array<long>"))
+    marks = staged(rows.mapInPandas(sketch, "doc_id long, fp long, cls long, n long, places array<long>, bits array<long>"))
     classes = marks.groupBy("cls").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.min("doc_id").alias("first"))
+    fits = F.least("un", "vn") >= similarity * F.greatest("un", "vn")
     near = links(marks.select("fp").distinct(), distance)
-    several = classes.groupBy("fp").count().where("count > 1").select(F.col("fp").alias("u"), F.col("fp").alias("v"))
-    named_side = lambda a: classes.select(F.col("fp").alias(a), F.col("cls").alias(f"{a}c"), F.col("n").alias(f"{a}n"), F.col("first").alias(f"{a}f"))
-    pairs = near.unionByName(several).join(named_side("u"), "u").join(named_side("v"), "v")
-    pairs = staged(pairs.where(((F.col("u") != F.col("v")) | (F.col("uc") < F.col("vc"))) & (F.least("un", "vn") >= similarity * F.greatest("un", "vn")))
-                   .select("uc", "vc", "uf", "vf"))
+    if complete:
+        # One partner a text: what these stars miss, the pass over places finds, and no crowd is compared all with all.
+        toward = near.groupBy("v").agg(F.min("u").alias("fp")).select(F.col("v").alias("at"), "fp")
+        hubs = classes.groupBy("fp").agg(F.min(F.struct("first", "cls", "n")).alias("hub"))
+        hubs = hubs.select(F.col("fp").alias("at"), "hub").unionByName(toward.join(hubs, "fp").select("at", "hub"))
+        pairs = classes.join(hubs, F.col("fp") == F.col("at")).select(
+            F.col("hub.cls").alias("uc"), F.col("cls").alias("vc"), F.col("hub.first").alias("uf"), F.col("first").alias("vf"), F.col("hub.n").alias("un"), F.col("n").alias("vn"))
+        pairs = pairs.where((F.col("uc") != F.col("vc")) & fits)
+    else:
+        several = classes.groupBy("fp").count().where("count > 1").select(F.col("fp").alias("u"), F.col("fp").alias("v"))
+        named_side = lambda a: classes.select(F.col("fp").alias(a), F.col("cls").alias(f"{a}c"), F.col("n").alias(f"{a}n"), F.col("first").alias(f"{a}f"))
+        pairs = near.unionByName(several).join(named_side("u"), "u").join(named_side("v"), "v")
+        pairs = pairs.where(((F.col("u") != F.col("v")) | (F.col("uc") < F.col("vc"))) & fits)
+    pairs = staged(pairs.select("uc", "vc", "uf", "vf"))
 
     def verified(pairs):
         """Of pairs (uc, vc, uf, vf) of classes with a document each, the links (u, v) that are similar enough."""
@@ -256,15 +291,16 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, dis
     roots = components(verified(pairs))
     if complete:
         nodes = classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "n", "first", F.coalesce("root", "cls").alias("root"))
-        prefixes = marks.groupBy("cls").agg(F.first("places").alias("places"))  # equal sets have equal places
-        shared = staged(prefixes.join(nodes, "cls").select("cls", "n", "first", "root", F.explode("places").alias("shingle")))
+        marked = marks.groupBy("cls").agg(F.first("places").alias("places"), F.first("bits").alias("bits"))  # equal sets have equal marks
+        shared = staged(marked.join(nodes, "cls").select("cls", "n", "first", "root", F.explode("places").alias("shingle")))
         # Where all that share a shingle are of one group already, as in a crowd of near copies, nothing is left to compare.
         mixed = shared.groupBy("shingle").agg(F.min("root").alias("a"), F.max("root").alias("z")).where("a <> z").select("shingle")
         open_ = shared.join(mixed, "shingle")
         side = lambda a: open_.select("shingle", F.col("cls").alias(f"{a}c"), F.col("n").alias(f"{a}n"), F.col("root").alias(f"{a}r"), F.col("first").alias(f"{a}f"))
-        fits = F.least("un", "vn") >= similarity * F.greatest("un", "vn")
         met = side("u").join(side("v"), "shingle").where((F.col("uc") < F.col("vc")) & (F.col("ur") != F.col("vr")) & fits)
         missed = met.groupBy("uc", "vc", "un", "vn", "uf", "vf").agg(F.count(F.lit(1)).alias("common")).where(_may_reach(similarity))
+        bits = lambda a: marked.select(F.col("cls").alias(f"{a}c"), F.col("bits").alias(f"{a}b"))
+        missed = missed.join(bits("u"), "uc").join(bits("v"), "vc").where(_parities_allow(similarity))
         found = verified(staged(missed.select("uc", "vc", "uf", "vf")))
         roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(found))
     placed = classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
