@@ -58,7 +58,7 @@ def test_chain_with_heads(packets):
 def test_heads_come_from_the_registry(spark, tmp_path):
     from wiretally.plans import training
     rows = spark.range(200).select(F.when(F.col("id") % 2 == 0, "tunnel").otherwise("transport").alias("mode"), *[((F.col("id") % 2) * (i + 1)).cast("double").alias(f"f{i}") for i in range(3)])
-    model = training.train_head(rows, "mode", ["f0", "f1", "f2"], trees=3, depth=2)
+    model = training.train_head(rows, "mode", ["f0", "f1", "f2"], rounds=3, depth=2)
     training.save_head(model, str(tmp_path), "mode", "1.0")
     registry = spark.createDataFrame([("mode", "1.0", 0.3), ("cipher", None, None)], "task string, version string, q double")
     heads = serving.load_heads(registry, str(tmp_path), ["mode", "cipher", "pfs"])
