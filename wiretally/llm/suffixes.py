@@ -223,29 +223,37 @@ class Family:
         self.kind, self.levels = f"S{length}", []
 
     def add(self, strings, owners):
-        """A new batch: sorted to a suffix array, merge-scanned against every level, then merged with levels of its size."""
-        level = _run(strings, owners)
+        """A new batch: sorted to a suffix array, merge-scanned against every level, then merged with levels of its size.
+
+        Gives back the batch's order, for ``least``.
+        """
+        order = np.argsort(strings, kind="stable")
+        level = _different_strings(strings[order], owners[order])
         for suffixes, least in self.levels:
             at, same = _meet(suffixes, level[0])
             level[1][same] = np.minimum(level[1][same], least[at[same]])
         self.levels.append(level)
         while len(self.levels) > 1 and len(self.levels[-2][0]) < 2 * len(self.levels[-1][0]):
             (a, x), (b, y) = self.levels.pop(), self.levels.pop()
-            self.levels.append(_run(np.concatenate([b, a]), np.concatenate([y, x])))
-
-    def least(self, strings):
-        """The least doc_id of each string over all levels."""
-        out = np.full(len(strings), NO_ID)
+            strings, owners = np.concatenate([b, a]), np.concatenate([y, x])
+            merged = np.argsort(strings, kind="stable")  # two sorted runs merge in linear time
+            self.levels.append(_different_strings(strings[merged], owners[merged]))
+        return order
+
+    def least(self, strings, order=None):
+        """The least doc_id of each string over all levels, which are scanned in the strings' sorted order."""
+        order = np.argsort(strings, kind="stable") if order is None else order
+        strings, found = strings[order], np.full(len(strings), NO_ID)
         for suffixes, least in self.levels:
             at, same = _meet(suffixes, strings)
-            out[same] = np.minimum(out[same], least[at[same]])
+            found[same] = np.minimum(found[same], least[at[same]])
+        out = np.empty(len(strings), np.int64)
+        out[order] = found
         return out
 
 
-def _run(strings, owners):
-    """Sorted different strings with their least owners. Sorted runs in the input merge in linear time."""
-    order = np.argsort(strings, kind="stable")
-    strings, owners = strings[order], owners[order]
+def _different_strings(strings, owners):
+    """The different ones of sorted strings, with their least owners."""
     new = np.ones(len(strings), bool)
     new[1:] = strings[1:] != strings[:-1]
     starts = np.flatnonzero(new)
@@ -391,11 +399,10 @@ def _least_ids(length, batch):
         lots = np.searchsorted(ends, np.arange(batch, (ends[-1] if len(ends) else 0) + batch, batch), side="right")
         spans = [(a, z) for a, z in zip(np.append(0, lots[:-1]).tolist(), np.append(lots[:-1], len(texts)).tolist()) if z > a]
         own = lambda a, z: _strings(data, (cuts - sizes)[a:z], counts[a:z], length)
-        for a, z in spans:
-            family.add(own(a, z), np.repeat(owners[a:z], counts[a:z]))
+        orders = [family.add(own(a, z), np.repeat(owners[a:z], counts[a:z])).astype(np.uint32) for a, z in spans]
         found = {}
-        for a, z in spans:
-            least = family.least(own(a, z))
+        for (a, z), order in zip(spans, orders):
+            least = family.least(own(a, z), order)
             starts = np.cumsum(counts[a:z]) - counts[a:z]
             low, high = np.minimum.reduceat(least, starts), np.maximum.reduceat(least, starts)
             for i in range(z - a):
