@@ -116,3 +116,14 @@ def test_report_sinks_and_refresh(spark, tmp_path):
         tables.refresh_tables(report(i, n), str(tmp_path / "db"))
     got = {r.analysis_id: r["count"] for r in spark.read.parquet(str(tmp_path / "db" / "finding")).groupBy("analysis_id").count().collect()}
     assert got == {"an_1": 3, "an_2": 1}
+
+
+def test_report_rows_keep_the_later_of_two_sas_and_what_rows_carry(spark):
+    doc = {"analysis_id": "an_1", "sas": [{"spi": "0x1", "enc": "AES-CBC"}, {"spi": "0x1", "enc": "AES-GCM-16"}, {"spi": "0x2"}],
+           "traffic_windows": [{"sa_id": "0x1", "t0": 1.5, "features": {"n": 3}}], "findings": [{"rule_id": "R", "evidence": {"spi": "0x1", "n": 2}}] * 2}
+    reports = spark.createDataFrame([(json.dumps(doc),), (json.dumps({"analysis_id": "an_2"}),)], "j string").select(F.from_json("j", tables.REPORT_SCHEMA).alias("r")).select("r.*")
+    parts = {name: rows.collect() for name, rows in tables.report_tables(reports).items()}
+    assert sorted((r.id, r.enc, json.loads(r.params)["spi"]) for r in parts["sa"]) == [("an_1-0x1", "AES-GCM-16", "0x1"), ("an_1-0x2", None, "0x2")]
+    assert [(r.sa_id, r.features) for r in parts["flow_window"]] == [("an_1-0x1", {"n": 3.0})]
+    assert sorted((r.id, r.evidence["n"]) for r in parts["finding"]) == [("an_1-R-0", "2"), ("an_1-R-1", "2")]
+    assert sorted(r.id for r in parts["analysis"]) == ["an_1", "an_2"]

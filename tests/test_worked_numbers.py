@@ -234,3 +234,31 @@ def test_beacon_history_expires_after_an_hour(spark):
         if len(seen) >= 2:
             want[i] = (len(seen), round((seen[-1] - seen[0]) / (len(seen) - 1), 6))
     assert got == want and got[4] == (3, 1797.5)
+
+
+def test_sessions_without_gateway_evidence_are_verified_from_their_status_text(spark):
+    line = "  c: #2, reqid 1, INSTALLED, TUNNEL, ESP:AES_CBC-256\n    in  0000000a, 1 bytes\n    out 0000000b, 2 bytes\n"
+    sessions = spark.createDataFrame([("new", "completed"), ("old", "completed"), ("bare", "completed"), ("late", "running")], "session_id string, status string")
+    children = spark.createDataFrame([("new", "tunnel", "AES-CBC", 256, None, ["0x0000000a"])],
+                                     "session_id string, mode string, enc string, key_bits int, integ string, spis array<string>")
+    sas = spark.createDataFrame([(s, "0x0000000A") for s in ("new", "old", "bare", "late")], "session_id string, spi string")
+    labels = spark.createDataFrame([(s, "tunnel", "CBC", 128, "sha256", True, 14) for s in ("new", "old", "bare", "late")],
+                                   "session_id string, mode string, enc string, key_bits int, integ string, pfs boolean, dh_group int")
+    legacy = spark.createDataFrame([("old", line), ("bare", None), ("late", line)], "session_id string, sa_state string")
+    out = ev.verify_sessions(sessions, children, sas, labels, legacy=legacy)
+    got = {(r.session_id, r.field): (r.value, r.source, r.match) for r in out.collect()}
+    assert len(got) == 24
+    assert got["new", "enc"] == ("AES-CBC", "gateway_vici", True) and got["new", "pfs"] == (None, "unavailable", None)
+    assert got["old", "enc"] == ("AES-CBC", "legacy_sa_state", True) and got["old", "key_bits"] == ("256", "legacy_sa_state", False)
+    for s in ("old", "bare", "late"):
+        assert got[s, "pfs"] == ("true", "configured", None) and got[s, "dh_group"] == ("14", "configured", None)
+    assert got["bare", "mode"] == got["late", "mode"] == (None, "unavailable", None)
+    totals = {r.session_id: (r.eligible, r.compared, r.matched) for r in ev.verification_totals(out).collect()}
+    assert totals == {"new": (6, 3, 2), "old": (6, 3, 2), "bare": (6, 0, 0), "late": (6, 0, 0)}
+
+
+def test_compliance_counts(spark):
+    sas = spark.createDataFrame([("a", "AES-GCM-16-256", "AEAD", "ECP-384"), ("a", "3DES", "SHA1", None), ("a", "AES-CBC", None, "MODP-1024"), ("b", None, None, None)],
+                                "analysis_id string, enc string, integ string, dh_group string")
+    got = {r.analysis_id: [tuple(r[s]) for s in posture.SUITES] for r in posture.compliance_counts(sas).collect()}
+    assert got == {"a": [(2, 1), (2, 1), (1, 2), (1, 2)], "b": [(1, 0), (1, 0), (1, 0), (0, 1)]}

@@ -141,20 +141,30 @@ def _facts(fields, source, key="session_id"):
     return [key, F.lit(source).alias("source"), F.inline(pairs)]
 
 
+def _agreed(children: DataFrame, sas: DataFrame, source: str, key: str) -> DataFrame:
+    """The value of each field on which all children among the observed SAs agree."""
+    plain = ("mode", "enc", "key_bits", "integ")
+    return (match_gateway(children, sas, key).select(*_facts(plain, source, key)).filter("value IS NOT NULL")
+            .groupBy(key, "source", "field").agg(F.min("value").alias("value"), F.max("value").alias("_hi"))
+            .filter(F.col("value") == F.col("_hi")).drop("_hi"))
+
+
 def verify_sessions(sessions: DataFrame, children: DataFrame, sas: DataFrame, labels: DataFrame,
-                    rekeyed: DataFrame = None, source="gateway_vici", key="session_id") -> DataFrame:
+                    rekeyed: DataFrame = None, source="gateway_vici", key="session_id", legacy: DataFrame = None) -> DataFrame:
     """Gateway-verified value per session and field, where all matched children agree.
 
     Only completed sessions are verified. ``rekeyed`` holds the observed rekey
     child of a session (spis, dh_group); with it PFS and the child DH group are
-    known. ``labels`` gives the configured values to compare with.
+    known. ``labels`` gives the configured values to compare with. ``legacy``
+    has one row (session, ``sa_state``) for each session that was stored without
+    gateway evidence: its children are read from that status text, and its PFS
+    and DH group are shown as configured, which is no comparison.
     """
     done = sessions.filter(F.col("status") == "completed").select(key)
-    matched = match_gateway(children.join(done, key, "left_semi"), sas, key)
-    plain = ("mode", "enc", "key_bits", "integ")
-    known = (matched.select(*_facts(plain, source, key)).filter("value IS NOT NULL")
-             .groupBy(key, "source", "field").agg(F.min("value").alias("value"), F.max("value").alias("_hi"))
-             .filter(F.col("value") == F.col("_hi")).drop("_hi"))
+    known = _agreed(children.join(done, key, "left_semi"), sas, source, key)
+    if legacy is not None:
+        stated = parse_gateway_state(legacy.join(done, key, "left_semi"), key)
+        known = known.unionByName(_agreed(stated, sas, "legacy_sa_state", key))
     if rekeyed is not None:
         child = (match_gateway(rekeyed.join(done, key, "left_semi"), sas, key)
                  .withColumn("pfs", F.col("dh_group").isNotNull()))
@@ -163,7 +173,13 @@ def verify_sessions(sessions: DataFrame, children: DataFrame, sas: DataFrame, la
     out = (sessions.select(key).join(expected, key).join(known, [key, "field"], "left")
            .withColumn("source", F.coalesce("source", F.lit("unavailable"))))
     match = text.comparable("field", "value").eqNullSafe(text.comparable("field", "expected"))
-    return out.withColumn("match", F.when(F.col("expected").isNotNull() & F.col("value").isNotNull(), match))
+    out = out.withColumn("match", F.when(F.col("expected").isNotNull() & F.col("value").isNotNull(), match))
+    if legacy is None:
+        return out
+    out = out.join(legacy.select(key).distinct().withColumn("_legacy", F.lit(True)), key, "left")
+    shown = F.col("_legacy") & F.col("field").isin("pfs", "dh_group") & F.col("value").isNull() & F.col("expected").isNotNull()
+    return out.withColumns({"value": F.when(shown, F.col("expected")).otherwise(F.col("value")),
+                            "source": F.when(shown, "configured").otherwise(F.col("source"))}).drop("_legacy")
 
 
 def verification_totals(verified: DataFrame, key="session_id") -> DataFrame:

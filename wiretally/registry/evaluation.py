@@ -100,6 +100,43 @@ def _j8(s, c, p):
     return ev.verification_totals(out).withColumnRenamed("eligible", "eligible_plain")
 
 
+@query("j8_verified_fields", f"""WITH s AS (SELECT *, esp_packets % 7 = 0 AS running, esp_packets % 3 = 0 AS legacy FROM sessions_fx),
+    c AS (SELECT session_id, snapshot, spi_in, spi_out, lower(mode) AS mode, {ALGO} FROM children_fx WHERE spi_in IS NOT NULL),
+    k AS (SELECT c.*, s.legacy FROM c JOIN s USING (session_id) WHERE NOT s.running AND NOT (s.legacy AND c.spi_in % 5 = 0)),
+    m AS (SELECT k.* FROM k WHERE EXISTS (SELECT 1 FROM predictions_fx p WHERE p.session_id = k.session_id AND p.spi IN (k.spi_in, k.spi_out))),
+    v AS (SELECT session_id, field, min(value) AS value, CASE WHEN bool_or(legacy) THEN 'legacy_sa_state' ELSE 'gateway_vici' END AS source FROM (
+        SELECT session_id, legacy, 'mode' AS field, mode AS value FROM m UNION ALL SELECT session_id, legacy, 'enc', enc FROM m
+        UNION ALL SELECT session_id, legacy, 'key_bits', CAST(key_bits AS VARCHAR) FROM m UNION ALL SELECT session_id, legacy, 'integ', integ FROM m)
+      WHERE value IS NOT NULL GROUP BY 1, 2 HAVING min(value) = max(value)),
+    fresh AS (SELECT * FROM k a WHERE NOT legacy AND snapshot = 'after' AND NOT EXISTS (
+        SELECT 1 FROM k b WHERE b.snapshot = 'before' AND b.session_id = a.session_id AND b.spi_in = a.spi_in)),
+    one AS (SELECT session_id, min(spi_in) AS spi_in, min(spi_out) AS spi_out FROM fresh GROUP BY 1 HAVING count(*) = 1),
+    r AS (SELECT session_id, CASE spi_in % 4 WHEN 1 THEN 14 WHEN 2 THEN 20 WHEN 3 THEN 2 END AS dh FROM one o
+      WHERE EXISTS (SELECT 1 FROM predictions_fx p WHERE p.session_id = o.session_id AND p.spi IN (o.spi_in, o.spi_out))),
+    known AS (SELECT * FROM v UNION ALL SELECT session_id, 'pfs', CASE WHEN dh IS NULL THEN 'false' ELSE 'true' END, 'gateway_vici_rekey' FROM r
+      UNION ALL SELECT session_id, 'dh_group', CAST(dh AS VARCHAR), 'gateway_vici_rekey' FROM r WHERE dh IS NOT NULL
+      UNION ALL SELECT session_id, 'pfs', CASE WHEN pfs THEN 'true' ELSE 'false' END, 'configured' FROM s WHERE legacy
+      UNION ALL SELECT session_id, 'dh_group', CASE WHEN esp_proposal LIKE '%ecp384' THEN '20' WHEN esp_proposal LIKE '%1024' THEN '2' ELSE '14' END, 'configured' FROM s WHERE legacy),
+    e AS (SELECT session_id, unnest(['mode', 'enc', 'key_bits', 'integ', 'pfs', 'dh_group']) AS field,
+      unnest([mode, CASE WHEN esp_proposal LIKE '%gcm%' THEN 'GCM' WHEN esp_proposal LIKE '%cbc%' THEN 'CBC' END, CAST(key_bits AS VARCHAR),
+        CASE WHEN esp_proposal LIKE '%gcm%' THEN 'AEAD' ELSE nullif(regexp_extract(esp_proposal, '(sha[0-9]+)', 1), '') END, CASE WHEN pfs THEN 'true' ELSE 'false' END,
+        CASE WHEN esp_proposal LIKE '%ecp384' THEN '20' WHEN esp_proposal LIKE '%1024' THEN '2' ELSE '14' END]) AS expected FROM s)
+    SELECT session_id, field, expected, value, coalesce(source, 'unavailable') AS source,
+      CASE WHEN source <> 'configured' AND expected IS NOT NULL THEN lower(expected) = CASE WHEN field = 'enc' THEN CASE WHEN value LIKE '%GCM%' THEN 'gcm' ELSE 'cbc' END ELSE lower(value) END END AS "match"
+    FROM e LEFT JOIN known USING (session_id, field)""", ["sessions_fx", "children_fx", "predictions_fx"])
+def _j8_fields(s, c, p):
+    """All six fields: a third of the sessions hold a status text only, the others parsed children and a rekey child."""
+    st = s.withColumn("status", F.when(F.col("esp_packets") % 7 == 0, "running").otherwise("completed"))
+    old = st.filter("esp_packets % 3 = 0").select("session_id")
+    state = (_state_text(c).join(old, "session_id", "left_semi").groupBy("session_id")
+             .agg(F.concat_ws("", F.array_sort(F.collect_list("sa_state"))).alias("sa_state")))
+    legacy = old.join(state, "session_id", "left")
+    children = c.join(old, "session_id", "left_anti")
+    group = F.when(F.col("spi_in") % 4 == 1, 14).when(F.col("spi_in") % 4 == 2, 20).when(F.col("spi_in") % 4 == 3, 2)
+    rekeyed = ev.new_rekey_child(*_split(children)).withColumn("dh_group", group)
+    return ev.verify_sessions(st, _spis(children), _sas(p), _labels(s), rekeyed, legacy=legacy)
+
+
 # --- predictions against labels ---------------------------------------------
 
 KNOWN = " + ".join(f"CASE WHEN {c} IS NOT NULL THEN 1 ELSE 0 END" for c in ("ike_version", "mode", "enc", "key_bits", "integ", "traffic_top"))

@@ -206,3 +206,23 @@ def _i19(s):
     return out.select("analysis_id", "risk_score", "security_score", "grade", "ai_confidence", F.to_json("severity_counts").alias("severity_counts"),
                       F.to_json("top_findings").alias("top_findings"), F.to_json("threat_matrix").alias("threat_matrix"))
 
+
+@query("i19_report_counts", f"""WITH f AS ({findings_sql(RULES)}), {SCORE_SQL.format(by='analysis_id', src='f')},
+    sev AS (SELECT analysis_id, count(*) FILTER (WHERE severity = 'critical') AS critical, count(*) FILTER (WHERE severity = 'high') AS high,
+      count(*) FILTER (WHERE severity = 'medium') AS medium, count(*) FILTER (WHERE severity = 'low') AS low FROM f GROUP BY 1),
+    c AS (SELECT analysis_id, coalesce(enc, '') NOT LIKE '%DES%' AND coalesce(integ, '') NOT LIKE '%SHA1%' AS ok, coalesce(dh_group, '') AS dh, coalesce(enc, '') AS enc,
+      traffic_confidence FROM sa_fx),
+    k AS (SELECT analysis_id, round(max(traffic_confidence), 4) AS ai_confidence, count(*) AS sas, count(*) FILTER (WHERE ok) AS rfc, count(*) FILTER (WHERE ok AND dh NOT IN ('MODP-1024', 'MODP-1536')) AS nist,
+      count(*) FILTER (WHERE enc LIKE '%AES-GCM%' AND enc LIKE '%256%' AND dh IN ('ECP-384', 'ECP-521')) AS cnsa FROM c GROUP BY 1)
+    SELECT analysis_id, coalesce(risk_score, 0) AS risk_score, coalesce(security_score, 100) AS security_score, {GRADE.format('coalesce(security_score, 100)')} AS grade, ai_confidence,
+      CAST(coalesce(critical, 0) AS BIGINT) AS critical, CAST(coalesce(high, 0) AS BIGINT) AS high, CAST(coalesce(medium, 0) AS BIGINT) AS medium, CAST(coalesce(low, 0) AS BIGINT) AS low,
+      CAST(rfc AS BIGINT) AS rfc_pass, CAST(sas - rfc AS BIGINT) AS rfc_fail, CAST(nist AS BIGINT) AS nist_pass, CAST(sas - nist AS BIGINT) AS nist_fail, CAST(cnsa AS BIGINT) AS cnsa_pass
+    FROM k LEFT JOIN scored USING (analysis_id) LEFT JOIN sev USING (analysis_id)""", ["sa_fx"])
+def _i19_counts(s):
+    """The numbers of each report."""
+    sas = with_conf(s)
+    out = posture.report_context(posture.evaluate_rules(sas, RULES), sas)
+    suite = lambda name, verdict: F.col(f"compliance.{name}.{verdict}")
+    return out.select("analysis_id", "risk_score", "security_score", "grade", "ai_confidence", *[F.col(f"severity_counts.{n}").alias(n) for n in ("critical", "high", "medium", "low")],
+                      suite("rfc_8221", "pass").alias("rfc_pass"), suite("rfc_8247", "fail").alias("rfc_fail"), suite("nist_800_77r1", "pass").alias("nist_pass"),
+                      suite("nist_800_77r1", "fail").alias("nist_fail"), suite("cnsa_2_0", "pass").alias("cnsa_pass"))

@@ -73,6 +73,42 @@ def _s13(o):
     return parts["sa"].select(F.col("id").alias("sa_id")).join(parts["flow_window"].select("sa_id", F.col("t0").cast("long").alias("t0")), "sa_id")
 
 
+@query("s13_report_rows", """WITH o AS (SELECT concat('an_', o_orderkey) AS id, o_orderkey AS n, concat('0x', lpad(lower(to_hex(o_custkey)), 8, '0')) AS spi,
+      concat('0x', lpad(lower(to_hex(o_custkey + 1)), 8, '0')) AS other FROM orders)
+    SELECT 'analysis' AS part, id, id AS analysis_id, 'completed' AS name, CAST(n % 101 AS DOUBLE) AS a, CAST(n % 251 AS DOUBLE) / 10 AS b, CAST(NULL AS VARCHAR) AS said FROM o
+    UNION ALL SELECT 'sa', concat(id, '-', spi), id, 'AES-GCM-16', CAST(256 AS DOUBLE), NULL, concat('{"spi":"', spi, '","peers":["10.0.0.1"],"enc":"AES-GCM-16","key_bits":256}') FROM o
+    UNION ALL SELECT 'sa', concat(id, '-', other), id, 'AES-CBC', CAST(128 AS DOUBLE), NULL, concat('{"spi":"', other, '","peers":["10.0.0.1"],"enc":"AES-CBC","key_bits":128}') FROM o
+    UNION ALL SELECT 'window', concat(id, '-', spi), id, 'web', CAST(n % 7 AS DOUBLE), CAST(0.5 AS DOUBLE), concat('{"packets":', n % 9, '.0}') FROM o
+    UNION ALL SELECT 'finding', concat(id, '-', r, '-', i), id, s, CAST(l AS DOUBLE), CAST(0.5 AS DOUBLE), concat('{"spi":"', spi, '"}') FROM o,
+      (VALUES ('R-1', 0, 'high', 0.25), ('R-2', 1, 'low', 0.75), ('R-1', 2, 'info', 1.0)) v(r, i, s, l)""", ["orders"])
+def _s13_rows(o):
+    """All four tables of every report; a report names its first SA twice and one rule twice."""
+    first, other = spi_text("o_custkey"), spi_text(F.col("o_custkey") + 1)
+    sa = lambda spi, enc, bits: F.struct(spi.alias("spi"), F.array(F.lit("10.0.0.1")).alias("peers"), F.lit(enc).alias("enc"), F.lit(bits).alias("key_bits"))
+    found = lambda rule, sev, likely: F.struct(F.lit(rule).alias("rule_id"), F.lit(sev).alias("severity"), F.lit(likely).alias("likelihood"),
+                                               F.lit(0.5).alias("confidence"), F.struct(first.alias("spi")).alias("evidence"))
+    window = F.struct(first.alias("sa_id"), (F.col("o_orderkey") % 7).cast("double").alias("t0"), F.lit("web").alias("pred"), F.lit(0.5).alias("p"),
+                      F.struct((F.col("o_orderkey") % 9).cast("double").alias("packets")).alias("features"))
+    doc = F.to_json(F.struct(
+        F.concat(F.lit("an_"), F.col("o_orderkey").cast("string")).alias("analysis_id"), (F.col("o_orderkey") % 101).cast("double").alias("security_score"),
+        ((F.col("o_orderkey") % 251).cast("double") / 10).alias("risk_score"),
+        F.array(sa(first, "AES-CBC", 128), sa(first, "AES-GCM-16", 256), sa(other, "AES-CBC", 128)).alias("sas"), F.array(window).alias("traffic_windows"),
+        F.array(found("R-1", "high", 0.25), found("R-2", "low", 0.75), found("R-1", "info", 1.0)).alias("findings")))
+    parts = tables.report_tables(o.select(F.from_json(doc, tables.REPORT_SCHEMA).alias("r")).select("r.*"))
+    none = F.lit(None).cast("double")
+    own = parts["flow_window"]
+    shaped = [
+        parts["analysis"].select(F.lit("analysis").alias("part"), "id", F.col("id").alias("analysis_id"), F.col("status").alias("name"),
+                                 F.col("score").alias("a"), F.col("risk").alias("b"), F.lit(None).cast("string").alias("said")),
+        parts["sa"].select(F.lit("sa"), "id", "analysis_id", "enc", F.col("key_bits").cast("double"), none, "params"),
+        own.select(F.lit("window"), "sa_id", "analysis_id", "pred", "t0", "p", F.to_json("features")),
+        parts["finding"].select(F.lit("finding"), "id", "analysis_id", "severity", "likelihood", "confidence", F.to_json("evidence"))]
+    out = shaped[0]
+    for rows in shaped[1:]:
+        out = out.union(rows)
+    return out
+
+
 query("s14_import_domains", f"""WITH o AS (SELECT domain AS name, arg_min(label, row_no) AS label, arg_min(scenario_id, row_no) AS scenario_id, split_part(domain, '.', 1) AS lab FROM domains_fx GROUP BY domain)
     SELECT CAST(label AS BIGINT) AS label, scenario_id, {FEATURES_SQL}, CAST(0 AS DOUBLE) AS qps FROM o""", ["domains_fx"])(tables.import_domains)
 query("s15_provenance", """SELECT session_id, concat('/captures/', session_id) AS path, sha256(session_id) AS sha256, 'lab' AS source, esp_packets, ike_packets FROM sessions_fx

@@ -100,15 +100,21 @@ def append_alerts(alerts: DataFrame, path: str) -> DataFrame:
 
 
 REPORT_SCHEMA = """analysis_id string, security_score double, risk_score double, ai_confidence double,
-    sas array<struct<spi:string,peers:array<string>,mode:string,enc:string>>,
-    traffic_windows array<struct<sa_id:string,t0:double,pred:string,p:double>>,
-    findings array<struct<rule_id:string,severity:string,likelihood:double,confidence:double>>"""
+    sas array<struct<spi:string,peers:array<string>,mode:string,enc:string,key_bits:int,integ:string,dh_group:string,pfs:boolean>>,
+    traffic_windows array<struct<sa_id:string,t0:double,pred:string,p:double,features:map<string,double>>>,
+    findings array<struct<rule_id:string,severity:string,likelihood:double,confidence:double,evidence:map<string,string>>>"""
 
 
 def report_tables(reports: DataFrame) -> dict:
-    """The analysis, SA, window and finding rows of parsed reports."""
+    """The analysis, SA, window and finding rows of parsed reports.
+
+    An SA that a report names twice is one row, the later one; ``params`` holds all that the report says of it.
+    Window features and finding evidence stay with their rows as maps.
+    """
     sa_id = F.concat_ws("-", "analysis_id", "spi")
-    sas = reports.select("analysis_id", F.inline("sas")).withColumn("id", sa_id)
+    named = reports.select("analysis_id", F.posexplode("sas").alias("_n", "_sa"))
+    sas = (named.groupBy("analysis_id", F.col("_sa.spi").alias("_spi")).agg(F.max_by("_sa", "_n").alias("_sa"))
+           .select("analysis_id", "_sa.*", F.to_json("_sa").alias("params")).withColumn("id", sa_id))
     windows = reports.select("analysis_id", F.inline("traffic_windows")).withColumn("sa_id", F.concat_ws("-", "analysis_id", "sa_id"))
     findings = reports.select("analysis_id", F.posexplode("findings").alias("_n", "_f")).select("analysis_id", "_n", "_f.*")
     findings = findings.withColumn("id", F.concat_ws("-", "analysis_id", "rule_id", F.col("_n").cast("string"))).drop("_n")
