@@ -18,17 +18,57 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements that a start tag of the key ends when they are open, and the elements that stop the search.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}),
           "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+#: A tag whose quote is never closed ends at the first ">"; markup that isn't closed at all runs to the end of the page.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*(?=>|\Z)|[^>]*)(?:>|\Z)", re.S)
 _MARKS = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HREF = re.compile(r"\bhref\s*=", re.I)
 _SPACE = re.compile(r"\s+")
 _PART = re.compile(r"[A-Za-z]+")
 
 
+class Open:
+    """The open elements of a page. What is asked about them takes no walk over all of them, however deep they nest."""
+
+    def __init__(self):
+        self.stack, self.at, self.names = [], {}, {}
+
+    def last(self, *tags):
+        """The depth of the innermost of ``tags``, -1 where none is open."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=-1)
+
+    def push(self, tag, names):
+        depth = len(self.stack)
+        self.stack.append((tag, names))
+        self.at.setdefault(tag, []).append(depth)
+        if tag in BLOCKS:
+            self.at.setdefault("", []).append(depth)
+        for n in names:
+            self.names[n] = self.names.get(n, 0) + 1
+
+    def cut(self, depth):
+        """Closes everything from ``depth`` on."""
+        while len(self.stack) > depth:
+            tag, names = self.stack.pop()
+            self.at[tag].pop()
+            if tag in BLOCKS:
+                self.at[""].pop()
+            for n in names:
+                self.names[n] -= 1
+                if not self.names[n]:
+                    del self.names[n]
+
+    def links(self):
+        return bool(self.at.get("a"))
+
+    def place(self):
+        """Known ancestor tags, the innermost last, and known names."""
+        tags = sorted((self.at[t][-1], t) for t in _TAGS if self.at.get(t))
+        return tuple(t for _, t in tags), tuple(sorted(self.names))
+
+
 def blocks(page: str):
-    """Leaf blocks in page order: (text, names of ancestor tags, names in their class, id and role, share of link text)."""
-    out, stack, pieces, linked, links = [], [], [], 0, 0
-    marks = []
+    """Leaf blocks in page order: (text, known ancestor tags, known names in their class, id and role, share of link text)."""
+    out, opened, pieces, linked = [], Open(), [], 0
 
     def end():
         nonlocal pieces, linked
@@ -36,14 +76,14 @@ def blocks(page: str):
             text = _SPACE.sub(" ", entities.unescape("".join(pieces))).strip()
             if text:
                 size = max(sum(map(len, pieces)), 1)
-                out.append((text, tuple(t for t, _, _ in stack), tuple(m for _, ms, _ in stack for m in ms), min(linked / size, 1.0)))
+                out.append((text, *opened.place(), min(linked / size, 1.0)))
         pieces, linked = [], 0
 
     def add(text):
         nonlocal linked
         if text:
             pieces.append(text)
-            if links and not text.isspace():
+            if opened.links() and not text.isspace():
                 linked += len(text)
     at, n = 0, len(page)
     while at < n:
@@ -58,12 +98,11 @@ def blocks(page: str):
             continue
         name = name.lower()
         if m[1]:
-            open_at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
+            open_at = opened.last(name)
             if name in BLOCKS:
                 end()
-            if open_at is not None and (name in BLOCKS or not any(t in BLOCKS for t, _, _ in stack[open_at + 1:])):
-                links -= sum(t == "a" for t, _, _ in stack[open_at:])
-                del stack[open_at:]
+            if open_at >= 0 and (name in BLOCKS or opened.last("") <= open_at):
+                opened.cut(open_at)
             continue
         if name in RAW:
             if name in BLOCKS:
@@ -76,27 +115,18 @@ def blocks(page: str):
             continue
         if name in BLOCKS:
             end()
-            if stack and stack[-1][0] == "p" or any(t == "p" for t, _, _ in stack):
-                last = max(i for i, (t, _, _) in enumerate(stack) if t == "p")
-                if not any(t in ("td", "th", "button", "object") for t, _, _ in stack[last:]):
-                    links -= sum(t == "a" for t, _, _ in stack[last:])
-                    del stack[last:]
+            paragraph = opened.last("p")
+            if paragraph >= 0 and opened.last("td", "th", "button", "object") < paragraph:
+                opened.cut(paragraph)
             if name in CLOSES:
                 ends, stops = CLOSES[name]
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in stops:
-                        break
-                    if stack[i][0] in ends:
-                        links -= sum(t == "a" for t, _, _ in stack[i:])
-                        del stack[i:]
-                        break
+                if opened.last(*ends) > opened.last(*stops):
+                    opened.cut(opened.last(*ends))
         if name in VOID or m[3].endswith("/") and name not in BLOCKS:
             continue
-        if name == "a":
-            links += 1
         found = m[3] and _MARKS.findall(m[3])
         marks = [p.lower() for group in found or () for value in group if value for p in _PART.findall(value)]
-        stack.append((name, tuple(marks), False))
+        opened.push(name, tuple(m for m in marks if m in _NAME_OF))
     end()
     return out
 
@@ -214,7 +244,8 @@ def main_text(pages: DataFrame, field: Field = None) -> DataFrame:
 
     Character references are decoded, white space inside a block becomes one space. A null or empty
     page, or one without main text, gives an empty text and 0. Repeated rows come out one by one,
-    extra columns are ignored. Without a ``field`` the one fitted to ``labelled.pages`` is used.
+    extra columns are ignored. A page is read in time proportional to its length, however deep its elements
+    nest; a tag whose quote never closes ends at its first ">". Without a ``field`` the one fitted to ``labelled.pages`` is used.
     """
     if field is None:
         from wiretally.llm.labelled import pages as labelled
