@@ -464,6 +464,7 @@ def test_toxicity_of_awkward_rows(spark, odd, empty):
     for df, given in ((odd, labels), (odd, labels.where("false")), (empty, labels)):
         out = toxicity.digest(df, given).collect()
         assert len(out) == df.count() and all(0 <= r["score"] <= 1 for r in out)
+        assert all(r["held_out"] is (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in out)
     assert toxicity.without_toxic(odd, toxicity.train(odd, labels.where("false"))).columns == odd.columns
 
 

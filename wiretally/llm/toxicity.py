@@ -198,7 +198,8 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score) of every row: 0 to 1, higher where a toxic label is likelier.
 
     Only the text counts; null and empty texts have no windows and get the score of a text without
-    any sign. Repeated rows and ids come out one by one, extra columns are ignored.
+    any sign. Repeated rows and ids come out one by one, extra columns are ignored. A row without a
+    doc_id is never learned from and, having no remainder, not marked as held out.
     """
     def run(batches):
         scorer = Scorer(model)
@@ -211,7 +212,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
 def digest(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     found = scored(docs, train(docs, labels))
-    return found.select("doc_id", (~learnable(F.col("doc_id"))).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return found.select("doc_id", (~F.coalesce(learnable(F.col("doc_id")), F.lit(True))).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
