@@ -127,3 +127,24 @@ def test_report_rows_keep_the_later_of_two_sas_and_what_rows_carry(spark):
     assert [(r.sa_id, r.features) for r in parts["flow_window"]] == [("an_1-0x1", {"n": 3.0})]
     assert sorted((r.id, r.evidence["n"]) for r in parts["finding"]) == [("an_1-R-0", "2"), ("an_1-R-1", "2")]
     assert sorted(r.id for r in parts["analysis"]) == ["an_1", "an_2"]
+
+
+def test_small_files_share_a_batch_and_large_ones_fill_several(spark):
+    """A batch of frames costs a fixed time, so many files of two frames must not be one each."""
+    import pandas as pd
+    record = lambda n: struct.pack(">IIII", n, 0, 4, 4) + bytes([n % 256] * 4)
+    file = lambda k, n: (str(k), struct.pack(">IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 262144, 1) + b"".join(record(i) for i in range(n)))
+    class Files:
+        columns = None
+        def select(self, *names):
+            return self
+        def mapInPandas(self, body, schema):
+            self.out = list(body(iter([pd.DataFrame([file(k, 2) for k in range(100)], columns=["capture_id", "content"]),
+                                       pd.DataFrame([file(100, 500)], columns=["capture_id", "content"])])))
+            return self
+    out = captures.split_frames(Files(), batch=300).out
+    assert [len(b) for b in out] == [300, 300, 100]
+    rows = pd.concat(out)
+    assert rows.capture_id.value_counts().to_dict() == {**{str(k): 2 for k in range(100)}, "100": 500}
+    assert rows[rows.capture_id == "100"].frame_no.tolist() == list(range(500)) and rows[rows.capture_id == "7"].frame_no.tolist() == [0, 1]
+    assert [len(b) for b in captures.split_frames(Files(), batch_bytes=400).out] == [100] * 7

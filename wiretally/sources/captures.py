@@ -19,19 +19,22 @@ def records(data: bytes):
             yield ts, link, src.get(begin, length)
 
 
-def split_frames(files: DataFrame, batch: int = 20_000) -> DataFrame:
-    """(capture_id, content) to frames; one file is one row and its frames leave in batches."""
+def split_frames(files: DataFrame, batch: int = 20_000, batch_bytes: int = 32 << 20) -> DataFrame:
+    """(capture_id, content) to frames; one file is one row. Frames leave in batches, of many small files or of a part of a large one."""
+    names = ["capture_id", "frame_no", "ts_us", "linktype", "frame"]
+
     def body(batches):
+        rows, held = [], 0
         for pdf in batches:
             for name, content in zip(pdf["capture_id"], pdf["content"]):
-                rows = []
                 for i, (ts, link, frame) in enumerate(records(content)):
                     rows.append((name, i, ts, link, frame))
-                    if len(rows) == batch:
-                        yield pd.DataFrame(rows, columns=["capture_id", "frame_no", "ts_us", "linktype", "frame"])
-                        rows = []
-                if rows:
-                    yield pd.DataFrame(rows, columns=["capture_id", "frame_no", "ts_us", "linktype", "frame"])
+                    held += len(frame)
+                    if len(rows) >= batch or held >= batch_bytes:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows, held = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=names)
     return files.select("capture_id", "content").mapInPandas(body, schema=FRAME_SCHEMA)
 
 
