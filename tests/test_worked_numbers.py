@@ -156,6 +156,13 @@ def test_gateway_texts(spark):
     assert (b.mode, b.enc, b.key_bits, b.integ, b.dh_group) == ("tunnel", "AES-CBC", 128, "sha256", None)
 
 
+def test_a_status_line_is_read_once(spark):
+    """A part of a lambda that is named twice is worked out twice, and a filter on the result would work out all of it again."""
+    df = spark.createDataFrame([("s1", STATE, RAW)], "session_id string, sa_state string, raw string")
+    plan = ev.parse_gateway_state(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") <= 8 and plan.count("array_position(") == 1
+
+
 def test_session_accuracy_counts(spark):
     labels = spark.createDataFrame([("s", "tunnel", "AES-GCM-16", "web")], "session_id string, mode string, enc string, traffic_type string")
     pred = spark.createDataFrame([("s", 1, "tunnel", "AES-CBC", "web")], "session_id string, spi long, mode string, enc string, traffic_top string")

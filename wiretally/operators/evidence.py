@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wiretally import constants as C
 from wiretally.functions import text
+from wiretally.functions.binary import bind
 from wiretally.functions.net import spi_text
 
 FIELDS = C.TRACKED_FIELDS
@@ -34,24 +35,32 @@ def _spi(value: Column) -> Column:
     return F.when(digits != "", F.concat(F.lit("0x"), F.lpad(F.lower(digits), 8, "0")))
 
 
-def _status_fields(line: Column) -> dict:
-    """What one line of a status text says, read field by field.
+def _status_lines(state: Column) -> Column:
+    """What each line of a status text says, read field by field, one struct a line.
 
     An SA's line is ``name: #number, field, field, ...``; an installed child's ends in its state, its mode
-    and ``protocol:proposal``. A line of an SPI is ``in`` or ``out`` and eight hex digits.
+    and ``protocol:proposal``. A line of an SPI is ``in`` or ``out`` and eight hex digits. Each step is a
+    ``transform`` of the one before, as nothing within a lambda is kept: a part named twice is worked out twice.
     """
-    name = F.substring_index(line, ":", 1)
-    fields = F.transform(F.split(F.substring(line, F.length(name) + 2, F.length(line)), ","), lambda x: F.trim(x))
-    numbered = F.contains(line, F.lit(":")) & F.startswith(F.get(fields, F.lit(0)), F.lit("#"))
-    state = F.array_position(F.transform(fields, lambda x: F.upper(x)), "INSTALLED").cast("int")
-    mode = F.lower(F.get(fields, state))
-    last = F.array_join(F.slice(fields, state + 2, F.greatest(F.size(fields), F.lit(1))), ",")
-    protocol = F.upper(F.substring_index(last, ":", 1))
-    words = F.split(F.trim(line), r"[\s,]+")
-    spi = F.when(F.get(words, F.lit(0)).isin("in", "out") & (F.length(F.get(words, F.lit(1))) == 8), _spi(F.get(words, F.lit(1))))
-    child = numbered & (state > 0) & mode.isin("tunnel", "transport") & protocol.isin("ESP", "AH") & F.contains(last, F.lit(":"))
-    return {"child": F.coalesce(child, F.lit(False)), "mode": mode, "protocol": protocol, "proposal": F.substring(last, F.length(protocol) + 2, F.length(last)),
-            "outer": F.coalesce(numbered & (F.ltrim(line) == line), F.lit(False)), "spi": spi}
+    parts = F.transform(F.split(state, "\n"), lambda x: F.struct(
+        x.alias("line"), F.split(F.trim(x), r"[\s,]+").alias("words"),
+        F.transform(F.split(F.substring(x, F.length(F.substring_index(x, ":", 1)) + 2, F.length(x)), ","), lambda y: F.trim(y)).alias("fields")))
+    placed = F.transform(parts, lambda x: F.struct(
+        x["line"].alias("line"), x["words"].alias("words"), x["fields"].alias("fields"),
+        (F.contains(x["line"], F.lit(":")) & F.startswith(F.get(x["fields"], F.lit(0)), F.lit("#"))).alias("numbered"),
+        F.array_position(F.transform(x["fields"], lambda y: F.upper(y)), "INSTALLED").cast("int").alias("state")))
+    ended = F.transform(placed, lambda x: F.struct(
+        x["numbered"].alias("numbered"), x["state"].alias("state"), F.lower(F.get(x["fields"], x["state"])).alias("mode"),
+        F.array_join(F.slice(x["fields"], x["state"] + 2, F.greatest(F.size(x["fields"]), F.lit(1))), ",").alias("last"),
+        F.coalesce(x["numbered"] & (F.ltrim(x["line"]) == x["line"]), F.lit(False)).alias("outer"),
+        F.when(F.get(x["words"], F.lit(0)).isin("in", "out") & (F.length(F.get(x["words"], F.lit(1))) == 8), _spi(F.get(x["words"], F.lit(1)))).alias("spi")))
+    named = F.transform(ended, lambda x: F.struct(x.alias("x"), F.upper(F.substring_index(x["last"], ":", 1)).alias("protocol")))
+    return F.transform(named, lambda n: F.struct(
+        F.coalesce(n["x"]["numbered"] & (n["x"]["state"] > 0) & n["x"]["mode"].isin("tunnel", "transport") & n["protocol"].isin("ESP", "AH")
+                   & F.contains(n["x"]["last"], F.lit(":")), F.lit(False)).alias("child"),
+        n["x"]["mode"].alias("mode"), n["protocol"].alias("protocol"),
+        F.substring(n["x"]["last"], F.length(n["protocol"]) + 2, F.length(n["x"]["last"])).alias("proposal"),
+        n["x"]["outer"].alias("outer"), n["x"]["spi"].alias("spi")))
 
 
 def parse_gateway_state(df: DataFrame, key="session_id", state="sa_state") -> DataFrame:
@@ -64,8 +73,7 @@ def parse_gateway_state(df: DataFrame, key="session_id", state="sa_state") -> Da
     child = "struct<mode:string,protocol:string,proposal:string,spis:array<string>>"
     blank = F.struct(F.array().cast(f"array<{child}>").alias("done"), F.lit(None).cast(child).alias("open"))
 
-    def step(acc, line):
-        said = _status_fields(line)
+    def step(acc, said):
         head, other, spi = said["child"], said["outer"], said["spi"]
         closed = F.when(acc["open"].isNotNull(), F.array_append(acc["done"], acc["open"])).otherwise(acc["done"])
         fresh = F.struct(said["mode"].alias("mode"), said["protocol"].alias("protocol"), said["proposal"].alias("proposal"),
@@ -77,9 +85,9 @@ def parse_gateway_state(df: DataFrame, key="session_id", state="sa_state") -> Da
             F.when(head, fresh).when(live & spi.isNotNull(), grown)
             .when(live & other, F.lit(None).cast(child)).otherwise(acc["open"]).alias("open"))
 
-    found = F.aggregate(F.split(state, "\n"), blank, step,
+    found = F.aggregate("_lines", blank, step,
                         lambda acc: F.when(acc["open"].isNotNull(), F.array_append(acc["done"], acc["open"])).otherwise(acc["done"]))
-    rows = (df.withColumn("_found", found).select(key, F.posexplode("_found").alias("child_no", "_c"))
+    rows = (bind(bind(df, _lines=_status_lines(F.col(state))), _found=found).select(key, F.posexplode("_found").alias("child_no", "_c"))
             .select(key, "child_no", "_c.*").filter(F.size("spis") > 0))
     return rows.select(key, "child_no", "mode", text.gateway_enc("proposal", "protocol").alias("enc"),
                        text.gateway_bits("proposal", "protocol").alias("key_bits"),
