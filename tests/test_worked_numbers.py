@@ -163,6 +163,14 @@ def test_a_status_line_is_read_once(spark):
     assert plan.count("split(") <= 8 and plan.count("array_position(") == 1
 
 
+def test_payload_chains_are_walked_once(spark):
+    """A filter on the chains that are found must not walk them again."""
+    kinds = "capture_id string, peer_a string, peer_b string, initiator_spi string, packet_no long, is_response boolean, msg_length long, first_payload int, message binary"
+    payloads = ike.ike_payloads(spark.createDataFrame([("c", "a", "b", "1", 1, False, 36, 43, bytes(28) + b"\0\0\0\x08" + bytes(4))], kinds))
+    assert [(r.payload_no, r.ptype, len(r.body)) for r in payloads.collect()] == [(0, 43, 4)]
+    assert payloads._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1
+
+
 def test_session_accuracy_counts(spark):
     labels = spark.createDataFrame([("s", "tunnel", "AES-GCM-16", "web")], "session_id string, mode string, enc string, traffic_type string")
     pred = spark.createDataFrame([("s", 1, "tunnel", "AES-CBC", "web")], "session_id string, spi long, mode string, enc string, traffic_top string")

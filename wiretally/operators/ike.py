@@ -50,7 +50,7 @@ def ike_payloads(messages: DataFrame) -> DataFrame:
     chain = F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(F.floor(limit / 4), F.lit(1).cast("long"))),
                         start, step, lambda acc: acc["out"])
     keep = [c for c in messages.columns if c not in ("message", "first_payload")]
-    return (messages.withColumn("_chain", chain)
+    return (bind(messages, _chain=chain)
             .select(*keep, "message", F.posexplode("_chain").alias("payload_no", "_p"))
             .select(*keep, "payload_no", F.col("_p.ptype").alias("ptype"),
                     cut(F.col("message"), F.col("_p.at"), F.col("_p.len")).alias("body")))
@@ -115,7 +115,7 @@ def _transform_chain(body: Column, layout: str) -> Column:
 def ike_transforms(payloads: DataFrame, layout: str = "rfc") -> DataFrame:
     sa = payloads.filter(F.col("ptype") == C.PAYLOAD_SA)
     keep = [c for c in payloads.columns if c not in ("body", "ptype")]
-    return (sa.withColumn("_t", _transform_chain(F.col("body"), layout))
+    return (bind(sa, _t=_transform_chain(F.col("body"), layout))
             .select(*keep, F.posexplode("_t").alias("transform_no", "_x"))
             .select(*keep, "transform_no", "_x.*").withColumn("name", transform_name()))
 

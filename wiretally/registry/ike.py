@@ -6,6 +6,7 @@ from wiretally.functions.text import transform_name
 from wiretally.operators import ike
 from wiretally.registry.base import query
 from wiretally.registry.packets import packets_from_frames
+from wiretally.session import stage
 
 
 def _messages(spark, d):
@@ -45,7 +46,7 @@ query("p9_payload_facts", f"""WITH {MSG_SQL}
 
 
 def _sessions(spark, d):
-    m = _messages(spark, d)
+    m = stage(_messages(spark, d))  # messages, payload facts and transforms are grouped apart; decoding takes longer than all three
     return ike.ike_sessions(m, ike.ike_payloads(m))
 
 
