@@ -134,3 +134,15 @@ def test_catalog_of_files(spark, folder):
 
 def test_no_files(spark, tmp_path):
     assert captures.read_frames(spark, str(tmp_path)).count() == 0
+
+
+def test_small_ranges_share_tasks(spark, tmp_path):
+    """A task costs a fixed time, so the tasks must not grow with ranges of a few hundred bytes."""
+    rows = spark.range(2_000).select((F.col("id") * 1000).alias("ts_us"), F.lit(1).alias("linktype"), F.unhex(F.lit("AB" * 60)).alias("frame"))
+    ranges.write_frames(rows.coalesce(1), str(tmp_path / "c")).collect()
+    index = ranges.read_index(spark, str(tmp_path / "c"), 512)
+    frames = ranges.frames_of(index)
+    most = 3 * spark.sparkContext.defaultParallelism
+    assert index.count() > 10 * most and frames.rdd.getNumPartitions() <= most
+    assert len(ranges.RangeReader(str(tmp_path / "c"), 512, most).partitions()) <= 2 * most
+    assert sorted(r.frame_no for r in frames.select("frame_no").collect()) == list(range(2_000))

@@ -249,16 +249,18 @@ class Piece(InputPartition):
 
 
 class RangeReader(DataSourceReader):
-    def __init__(self, path, size):
-        self.path, self.size = path, size
+    def __init__(self, path, size, tasks=None):
+        self.path, self.size, self.tasks = path, size, tasks
 
     def partitions(self):
-        """Ranges of large files stand alone; small files share a task."""
+        """Ranges of large files stand alone; small files share a task, and small ranges do beyond ``tasks``."""
         out, held, weight = [], [], 0
-        for path, length in _listed(self.path):
+        files = _listed(self.path)
+        share = max(self.size, min(RANGE_BYTES, sum(length for _, length in files) // self.tasks)) if self.tasks else self.size
+        for path, length in files:
             for no, begin in enumerate(range(0, max(length, 1), self.size)):
                 end = min(begin + self.size, length)
-                if held and weight + end - begin > self.size:
+                if held and weight + end - begin > share:
                     out.append(Piece(held))
                     held, weight = [], 0
                 held.append((path, no, begin, end))
@@ -281,7 +283,7 @@ class CaptureRanges(DataSource):
         return INDEX_SCHEMA
 
     def reader(self, schema):
-        return RangeReader(self.options["path"], int(self.options.get("range_bytes", RANGE_BYTES)))
+        return RangeReader(self.options["path"], int(self.options.get("range_bytes", RANGE_BYTES)), int(self.options.get("tasks", 0)))
 
 
 # --- index and frames -------------------------------------------------------
@@ -337,10 +339,15 @@ def stitched(index: DataFrame) -> DataFrame:
     return kept.withColumn("first_frame", F.coalesce(F.sum("frames").over(before), F.lit(0))).select(*names, "first_frame", "known")
 
 
+def _tasks(spark: SparkSession) -> int:
+    """Tasks that keep all cores busy; a task costs a fixed time, so ranges far below ``RANGE_BYTES`` don't get one each."""
+    return 3 * spark.sparkContext.defaultParallelism
+
+
 def read_index(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """The stitched index of all files under ``path``."""
     spark.dataSource.register(CaptureRanges)
-    return stitched(spark.read.format("capture_ranges").option("range_bytes", range_bytes).load(path))
+    return stitched(spark.read.format("capture_ranges").option("range_bytes", range_bytes).option("tasks", _tasks(spark)).load(path))
 
 
 def _frames(batches, rows: int = 20_000, limit: int = 16 << 20):
@@ -366,9 +373,10 @@ def _frames(batches, rows: int = 20_000, limit: int = 16 << 20):
 
 
 def frames_of(index: DataFrame) -> DataFrame:
-    """Frames of a stitched index, one task per range; ``capture_id`` is the file's path, ``frame_no`` counts from its first frame."""
+    """Frames of a stitched index, one task per range or for several small ones; ``capture_id`` is the file's path, ``frame_no`` counts from its first frame."""
     held = stage(index.where("frames > 0"))
-    count = max(1, held.count())
+    size = held.agg(F.count(F.lit(1)).alias("ranges"), F.coalesce(F.sum(F.col("end") - F.col("begin")), F.lit(0)).alias("bytes")).first()
+    count = max(1, min(size["ranges"], max(_tasks(index.sparkSession), -(-size["bytes"] // RANGE_BYTES))))
     spread = held.repartitionByRange(count, "path", "range_no") if count > 1 else held
     return spread.select("path", "entry", "end", "first_frame", "known").mapInArrow(_frames, FRAME_SCHEMA)
 
