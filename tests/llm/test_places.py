@@ -64,3 +64,40 @@ def test_a_crowd_makes_few_pairs(spark, monkeypatch):
     got = simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), complete=True).collect()
     assert {r["component_id"] for r in got} == {0} and len(got) == 200
     assert sum(made) <= 2 * 200
+
+
+def test_a_line_in_few_of_many_texts_is_frequent(spark):
+    """Five of 1,000 texts of a task share a line; three copies of another text share nothing with a different one."""
+    line = "a line that only a few of the texts share word for word"
+    rows = [(" ".join(f"w{i}x{j}" for j in range(20)) + (f" {line}" if i % 200 == 0 else ""),) for i in range(1000)]
+    rows += [("a text that comes three times and is one text all the same",)] * 3
+    texts = spark.createDataFrame([(t.encode(),) for (t,) in rows], "raw binary").coalesce(1)
+    assert simhash._frequent(texts, 5).tolist() == sorted(simhash.shingle_set(line.encode()).tolist())
+
+
+def test_complete_groups_are_those_of_all_pairs_and_places_are_dealt_once(spark, monkeypatch):
+    """Texts around shared passages, with edits and copies: groups as by brute force; places are never written to the folder one by one."""
+    rng, rows, written = np.random.default_rng(8), [], []
+    passages = [" ".join(f"p{k}y{j}" for j in range(30)) for k in range(3)]
+    for i in range(120):
+        words = [f"t{i % 40}z{j}" for j in range(60)]
+        for at in rng.integers(0, 60, int(rng.integers(0, 4))):
+            words[at] = f"e{i}"
+        rows.append((i, " ".join(words) + " " + passages[i % 3]))
+    rows += [(200 + i, t) for i, t in rows[:10]]
+    staged = simhash.staged
+    monkeypatch.setattr(simhash, "staged", lambda df: written.append(df.columns) or staged(df))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(frame, complete=True).collect()}
+    sets = {i: set(simhash.shingle_set(t.encode()).tolist()) for i, t in rows}
+    least = {i: i for i in sets}
+    for _ in range(len(sets)):
+        was = dict(least)
+        for a in sets:
+            for b in sets:
+                if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                    least[a] = least[b] = min(least[a], least[b])
+        if least == was:
+            break
+    assert got == least and 1 < len(set(least.values())) < len(rows)
+    assert not any("shingle" in columns for columns in written)

@@ -3,7 +3,7 @@
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wiretally.llm.common import staged, text_bytes
@@ -154,20 +154,35 @@ def _class(shingles: np.ndarray) -> int:
 FREQUENT = 200_000
 
 
+#: Shingles of different texts that are counted at once, and how many texts of these must share one.
+COUNTED, SHARED = 1 << 21, 3
+
+
 def _frequent(rows: DataFrame, words: int, keep: int = FREQUENT) -> np.ndarray:
-    """Shingles that many texts of one batch share, the most frequent of all batches, sorted by hash.
+    """Shingles that several texts of one lot share, the most frequent of all lots, sorted by hash.
 
     They only set an order (see ``_places``), in which any choice is right; so counts need not be
-    exact, and of crowds beyond ``keep`` shingles the lesser may be left out. Only what at least eight
-    texts and one in a hundred of a batch share leaves its task.
+    exact, and of crowds beyond ``keep`` shingles the lesser may be left out. A lot holds texts of a
+    task with ``COUNTED`` shingles or a little more, copies once; only what ``SHARED`` texts of a lot
+    share leaves its task. A passage in few texts of many comes up often enough in one of the lots.
     """
+    def tally(held):
+        found, often = np.unique(np.concatenate(list(held.values())), return_counts=True)
+        many = often >= SHARED
+        return pd.DataFrame({"shingle": found[many], "n": often[many]})
+
     def run(batches):
+        held, size = {}, 0
         for b in batches:
-            for at in range(0, len(b), 1000):
-                held = [shingle_set(t, words) for t in b["raw"].iloc[at:at + 1000]]
-                found, often = np.unique(np.concatenate(held), return_counts=True)
-                many = often >= max(8, len(held) // 100)
-                yield pd.DataFrame({"shingle": found[many], "n": often[many]})
+            for text in b["raw"]:
+                one = shingle_set(text, words)
+                held[_class(one)] = one
+                size += len(one)
+                if size >= COUNTED:
+                    yield tally(held)
+                    held, size = {}, 0
+        if held:
+            yield tally(held)
 
     counted = rows.mapInPandas(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     top = counted.orderBy(F.desc("n"), "shingle").limit(keep).collect()  # at most ``keep`` rows
@@ -290,17 +305,19 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, dis
 
     roots = components(verified(pairs))
     if complete:
-        nodes = classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "n", "first", F.coalesce("root", "cls").alias("root"))
-        marked = marks.groupBy("cls").agg(F.first("places").alias("places"), F.first("bits").alias("bits"))  # equal sets have equal marks
-        shared = staged(marked.join(nodes, "cls").select("cls", "n", "first", "root", F.explode("places").alias("shingle")))
+        nodes = classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "n", F.coalesce("root", "cls").alias("root"))
+        marked = marks.groupBy("cls").agg(F.first("places").alias("places"))  # equal sets have equal marks
+        shared = marked.join(nodes, "cls").select("cls", "n", "root", F.explode("places").alias("shingle"))
         # Where all that share a shingle are of one group already, as in a crowd of near copies, nothing is left to compare.
-        mixed = shared.groupBy("shingle").agg(F.min("root").alias("a"), F.max("root").alias("z")).where("a <> z").select("shingle")
-        open_ = shared.join(mixed, "shingle")
-        side = lambda a: open_.select("shingle", F.col("cls").alias(f"{a}c"), F.col("n").alias(f"{a}n"), F.col("root").alias(f"{a}r"), F.col("first").alias(f"{a}f"))
+        # A window, so that places are dealt by shingle once, for this and for both sides of the join.
+        alike = Window.partitionBy("shingle")
+        open_ = shared.withColumn("a", F.min("root").over(alike)).withColumn("z", F.max("root").over(alike)).where("a <> z")
+        side = lambda a: open_.select("shingle", F.col("cls").alias(f"{a}c"), F.col("n").alias(f"{a}n"), F.col("root").alias(f"{a}r"))
         met = side("u").join(side("v"), "shingle").where((F.col("uc") < F.col("vc")) & (F.col("ur") != F.col("vr")) & fits)
-        missed = met.groupBy("uc", "vc", "un", "vn", "uf", "vf").agg(F.count(F.lit(1)).alias("common")).where(_may_reach(similarity))
-        bits = lambda a: marked.select(F.col("cls").alias(f"{a}c"), F.col("bits").alias(f"{a}b"))
-        missed = missed.join(bits("u"), "uc").join(bits("v"), "vc").where(_parities_allow(similarity))
+        missed = met.groupBy("uc", "vc", "un", "vn").agg(F.count(F.lit(1)).alias("common")).where(_may_reach(similarity))
+        held = marks.groupBy("cls").agg(F.min("doc_id").alias("first"), F.first("bits").alias("bits"))
+        known = lambda a: held.select(F.col("cls").alias(f"{a}c"), F.col("first").alias(f"{a}f"), F.col("bits").alias(f"{a}b"))
+        missed = missed.join(known("u"), "uc").join(known("v"), "vc").where(_parities_allow(similarity))
         found = verified(staged(missed.select("uc", "vc", "uf", "vf")))
         roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(found))
     placed = classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
