@@ -101,3 +101,21 @@ def test_complete_groups_are_those_of_all_pairs_and_places_are_dealt_once(spark,
             break
     assert got == least and 1 < len(set(least.values())) < len(rows)
     assert not any("shingle" in columns for columns in written)
+
+
+def test_only_texts_that_may_match_are_joined(spark):
+    """The filter before a join misses no id, null and negative ones included, and lets few others pass."""
+    from pyspark.sql import functions as F
+    ids = [0, -5, 2**62, *range(1000, 3000, 2)]
+    perhaps = simhash._perhaps(spark.createDataFrame([(i,) for i in ids], "doc_id long"))
+    rows = spark.range(-2000, 20000).select(F.col("id").alias("doc_id")).unionByName(spark.createDataFrame([(2**62,), (None,)], "doc_id long"))
+    passed = [r["doc_id"] for r in rows.where(perhaps(F.col("doc_id"))).collect()]
+    assert set(ids) <= set(passed) and len(passed) < len(ids) + 100
+
+
+def test_repeated_ids_leave_one_row_and_other_texts_stay(spark):
+    base = " ".join(f"w{i}" for i in range(100))
+    rows = [(i, " ".join(f"d{i}x{j}" for j in range(30))) for i in range(50)] + [(100, base), (100, base), (101, base + " end"), (102, "other words"), (102, "other words"), (None, base)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id int, text string"))
+    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted([*range(50), 100, 102, None], key=str)
+    assert kept.schema["doc_id"].dataType.simpleString() == "int"

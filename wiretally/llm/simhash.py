@@ -237,6 +237,29 @@ def _parities_allow(similarity: float):
     return F.col("un") + F.col("vn") - apart >= 2 * _needed(similarity)
 
 
+#: Bits of a filter for ids, 1 MB, however many ids there are.
+HASHED = 1 << 23
+
+
+def _perhaps(ids: DataFrame):
+    """Whether an id may be among ``ids.doc_id``, as a function of a column; never false for one that is.
+
+    Rows that can't match are so left out before a join, and their texts are not shuffled. A filter of fixed
+    size lets more rows pass as ids grow, so the exact join follows.
+    """
+    place = lambda col: F.xxhash64(col.cast("long")).bitwiseAND(F.lit(HASHED - 1))
+    words = (ids.select(place(F.col("doc_id")).alias("at")).groupBy(F.shiftright("at", 6).alias("word"))
+             .agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).collect())  # at most HASHED / 64 rows
+    held = np.zeros(HASHED // 64, np.int64)
+    held[[r["word"] for r in words]] = [r["bits"] for r in words]
+
+    @F.pandas_udf("boolean")
+    def may(at: pd.Series) -> pd.Series:
+        at = at.to_numpy()
+        return pd.Series((held[at >> 6] >> (at & 63)) & 1 == 1)
+    return lambda col: may(place(col))
+
+
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, distance: int = 5, complete: bool = False) -> DataFrame:
     """Group of every document with a doc_id: (doc_id, component_id), for verified near-duplicates.
 
@@ -296,7 +319,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, dis
     def verified(pairs):
         """Of pairs (uc, vc, uf, vf) of classes with a document each, the links (u, v) that are similar enough."""
         wanted = pairs.select(F.explode(F.array("uf", "vf")).alias("doc_id")).distinct()
-        sets = staged(rows.join(wanted, "doc_id", "left_semi").select("raw").mapInPandas(gather, "cls long, set array<long>"))
+        sets = staged(rows.where(_perhaps(wanted)(F.col("doc_id"))).join(wanted, "doc_id", "left_semi").select("raw").mapInPandas(gather, "cls long, set array<long>"))
         both = (pairs.select("uc", "vc").join(sets.select(F.col("cls").alias("uc"), F.col("set").alias("us")), "uc")
                 .join(sets.select(F.col("cls").alias("vc"), F.col("set").alias("vs")), "vc"))
         common = F.size(F.array_intersect("us", "vs"))
@@ -332,6 +355,11 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, distance:
     Rows that repeat the kept doc_id are copies of it and leave one row. Rows without a doc_id
     stay, as they can't be told apart.
     """
-    found = similar_groups(docs, words, similarity, distance, complete=True).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.join(found, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+    groups = staged(similar_groups(docs, words, similarity, distance, complete=True))
+    found = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    # Most ids have one row, which stays; only rows of the others are joined and told apart, so most texts are not shuffled.
+    doubtful = groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("kept"))
+    perhaps = _perhaps(doubtful.where("n > 1 or not kept"))(F.col("doc_id"))
+    named = docs.where(F.col("doc_id").isNotNull())
+    kept = named.where(perhaps).join(found, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
+    return named.where(~perhaps).unionByName(kept).unionByName(docs.where(F.col("doc_id").isNull()))
