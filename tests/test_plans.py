@@ -56,3 +56,8 @@ def test_trailing_windows_are_cut_in_time(spark):
     text = plan_of(th.rolling_count(view(spark, SF, "packets_fx"), "dst"))
     assert re.search(r"hashpartitioning\(dst#\d+, _chunk#\d+", text)
     assert "RangeFrame" not in text
+
+
+def test_served_scores_read_the_packets_no_more_than_the_evidence_does(spark):
+    """Heads score staged windows and SAs, not packets in a scan for each use."""
+    assert plan_of(QUERIES["i9_with_scores"](spark, SF)).count("FileScan parquet") <= 2

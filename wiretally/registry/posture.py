@@ -7,6 +7,7 @@ from wiretally.operators import sa
 from wiretally.plans import analysis, inference, posture, serving
 from wiretally.registry.base import query
 from wiretally.registry.features import STRUCTURE_SQL
+from wiretally.session import stage
 
 RULES = posture.load_pack("baseline")
 CNSA = posture.load_pack("cnsa2")
@@ -183,10 +184,12 @@ SCORES_SQL = f"""{SLICE_SQL}, hp AS (SELECT DISTINCT capture_id, spi, {_SERVED}
 def _i9_scored(e):
     """Every head served: SA scores and window votes flow into the evidence; rekeys open pfs and dh_group in half of the captures."""
     heads = {n: _head(*h) for n, h in HEADS.items()} | {"traffic": _head(*TRAFFIC_HEAD)}
-    cut = e.select("capture_id", "spi", (F.col("ts_us") - F.pmod("ts_us", F.lit(5_000_000))).alias("win_us")).distinct()
-    rekeys = e.select("capture_id").distinct().withColumn("rekey_count", F.substring("capture_id", -1, 1).cast("long") % 2)
+    # Staged, so that heads score a window and an SA once: filters on their results would be moved down to the packets, in a scan for each use.
+    cut = stage(e.select("capture_id", "spi", (F.col("ts_us") - F.pmod("ts_us", F.lit(5_000_000))).alias("win_us")).distinct())
+    sas = stage(cut.select("capture_id", "spi").distinct())
+    rekeys = sas.select("capture_id").distinct().withColumn("rekey_count", F.substring("capture_id", -1, 1).cast("long") % 2)
     traffic = serving.traffic_of(serving.score_windows(cut, heads))
-    out = analysis.analyse_esp(e, RULES, rekeys=rekeys, scores=serving.score_sas(e.select("capture_id", "spi").distinct(), heads), traffic=traffic)
+    out = analysis.analyse_esp(e, RULES, rekeys=rekeys, scores=serving.score_sas(sas, heads), traffic=traffic)
     sets = out["evidence"].select(F.col("capture_id").alias("analysis_id"), "spi", F.array_join("conformal_set", ",").alias("conformal_set"))
     return out["sas"].join(sets, ["analysis_id", "spi"]).select("analysis_id", "spi", "mode", "mode_conf", "enc", "enc_conf", "integ", "pfs", "dh_group",
                                                                "traffic_top", "traffic_confidence", "conformal_set")
