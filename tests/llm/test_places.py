@@ -119,3 +119,30 @@ def test_repeated_ids_leave_one_row_and_other_texts_stay(spark):
     kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id int, text string"))
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted([*range(50), 100, 102, None], key=str)
     assert kept.schema["doc_id"].dataType.simpleString() == "int"
+
+
+def test_the_filter_before_a_join_needs_no_python_worker(spark):
+    """A second worker beside the one that reads the texts took an executor over its memory."""
+    from pyspark.sql import functions as F
+    ids = spark.createDataFrame([(1,), (2,)], "doc_id long")
+    rows = spark.range(100).select(F.col("id").alias("doc_id"))
+    plan = rows.where(simhash._perhaps(ids)(F.col("doc_id")))._jdf.queryExecution().executedPlan().toString()
+    assert "EvalPython" not in plan
+    none = rows.where(simhash._perhaps(ids.limit(0))(F.col("doc_id")))
+    assert none.count() == 0
+
+
+def test_texts_are_taken_in_slices():
+    import pyarrow as pa
+    batch = pa.RecordBatch.from_pydict({"raw": [b"x"] * (2 * simhash.SLICE + 3)})
+    assert [len(b) for b in simhash._sliced([batch])] == [simhash.SLICE, simhash.SLICE, 3]
+
+
+def test_counts_of_a_lot(spark, monkeypatch):
+    """Fewer shingles than texts that must share one, and lots that end within a slice."""
+    texts = lambda *rows: spark.createDataFrame([(t.encode(),) for t in rows], "raw binary").coalesce(1)
+    assert simhash._frequent(texts("one"), 5).tolist() == []
+    monkeypatch.setattr(simhash, "COUNTED", 6)
+    line = "five words that all share"
+    found = simhash._frequent(texts(*[f"{line} w{i}" for i in range(6)]), 5)
+    assert found.tolist() == simhash.shingle_set(line.encode()).tolist()

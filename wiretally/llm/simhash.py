@@ -1,7 +1,7 @@
 """SimHash near-duplicates: majority fingerprints, linked through one-wildcard segment variants."""
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -150,6 +150,17 @@ def _class(shingles: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes(), 42)).view(np.int64))
 
 
+#: Texts that a task holds as Python objects, with their shingle sets, at once.
+SLICE = 64
+
+
+def _sliced(batches):
+    """Rows of Arrow batches as frames of ``SLICE`` rows."""
+    for b in batches:
+        for at in range(0, b.num_rows, SLICE):
+            yield b.slice(at, SLICE).to_pandas()
+
+
 #: Shingles that the common order of all sets puts last, as they are frequent; the rest stands by hash.
 FREQUENT = 200_000
 
@@ -167,24 +178,28 @@ def _frequent(rows: DataFrame, words: int, keep: int = FREQUENT) -> np.ndarray:
     share leaves its task. A passage in few texts of many comes up often enough in one of the lots.
     """
     def tally(held):
-        found, often = np.unique(np.concatenate(list(held.values())), return_counts=True)
-        many = often >= SHARED
-        return pd.DataFrame({"shingle": found[many], "n": often[many]})
+        """Shingles of at least ``SHARED`` sets with their counts; empties ``held``, so that all are in memory once only."""
+        every = np.concatenate(list(held.values()))
+        held.clear()
+        every.sort()
+        found = np.unique(every[SHARED - 1:][every[SHARED - 1:] == every[:max(0, len(every) - SHARED + 1)]])
+        often = np.searchsorted(every, found, "right") - np.searchsorted(every, found, "left")
+        return pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(often, pa.int64())], ["shingle", "n"])
 
     def run(batches):
         held, size = {}, 0
-        for b in batches:
+        for b in _sliced(batches):
             for text in b["raw"]:
                 one = shingle_set(text, words)
                 held[_class(one)] = one
                 size += len(one)
                 if size >= COUNTED:
                     yield tally(held)
-                    held, size = {}, 0
+                    size = 0
         if held:
             yield tally(held)
 
-    counted = rows.mapInPandas(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    counted = rows.mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     top = counted.orderBy(F.desc("n"), "shingle").limit(keep).collect()  # at most ``keep`` rows
     return np.sort(np.array([r["shingle"] for r in top], np.int64))
 
@@ -249,15 +264,12 @@ def _perhaps(ids: DataFrame):
     """
     place = lambda col: F.xxhash64(col.cast("long")).bitwiseAND(F.lit(HASHED - 1))
     words = (ids.select(place(F.col("doc_id")).alias("at")).groupBy(F.shiftright("at", 6).alias("word"))
-             .agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).collect())  # at most HASHED / 64 rows
-    held = np.zeros(HASHED // 64, np.int64)
-    held[[r["word"] for r in words]] = [r["bits"] for r in words]
-
-    @F.pandas_udf("boolean")
-    def may(at: pd.Series) -> pd.Series:
-        at = at.to_numpy()
-        return pd.Series((held[at >> 6] >> (at & 63)) & 1 == 1)
-    return lambda col: may(place(col))
+             .agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")))
+    every = ids.sparkSession.range(HASHED // 64).withColumnRenamed("id", "word").join(words, "word", "left")
+    listed = F.sort_array(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))))  # HASHED / 64 entries
+    # A subquery of one row, written once: the test needs no Python worker beside those that read the texts.
+    held = staged(every.agg(listed.alias("held")).select(F.col("held.bits").alias("held"))).scalar()
+    return lambda col: F.bit_get(F.get(held, F.shiftright(place(col), 6).cast("int")), place(col).bitwiseAND(F.lit(63)).cast("int")) == 1
 
 
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, distance: int = 5, complete: bool = False) -> DataFrame:
@@ -279,25 +291,26 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, dis
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("raw"))
     frequent = _frequent(rows.select("raw"), words) if complete else None
 
+    mark_schema = pa.schema([*[(c, pa.int64()) for c in ("doc_id", "fp", "cls", "n")], *[(c, pa.list_(pa.int64())) for c in ("places", "bits")]])
+    set_schema = pa.schema([("cls", pa.int64()), ("set", pa.list_(pa.int64()))])
+
     def sketch(batches):
-        for b in batches:
+        for b in _sliced(batches):
             sets = [shingle_set(t, words) for t in b["raw"]]
             b["places"] = [_places(x, frequent, similarity) if complete else x[:0] for x in sets]
             b["fp"] = np.fromiter((fingerprint(t, 1, False) for t in b["raw"]), np.int64, len(b))
             b["cls"] = np.fromiter(map(_class, sets), np.int64, len(b))
             b["n"] = np.fromiter(map(len, sets), np.int64, len(b))
             b["bits"] = [_parity(x) if complete else x[:0] for x in sets]
-            yield b[["doc_id", "fp", "cls", "n", "places", "bits"]]
+            yield pa.RecordBatch.from_pandas(b[mark_schema.names], mark_schema, preserve_index=False)
 
     def gather(batches):
-        for b in batches:
-            for at in range(0, len(b), 64):
-                part = b.iloc[at:at + 64][["raw"]].copy()
-                part["set"] = [shingle_set(t, words) for t in part["raw"]]
-                part["cls"] = np.fromiter(map(_class, part["set"]), np.int64, len(part))
-                yield part[["cls", "set"]]
+        for b in _sliced(batches):
+            b["set"] = [shingle_set(t, words) for t in b["raw"]]
+            b["cls"] = np.fromiter(map(_class, b["set"]), np.int64, len(b))
+            yield pa.RecordBatch.from_pandas(b[set_schema.names], set_schema, preserve_index=False)
 
-    marks = staged(rows.mapInPandas(sketch, "doc_id long, fp long, cls long, n long, places array<long>, bits array<long>"))
+    marks = staged(rows.mapInArrow(sketch, "doc_id long, fp long, cls long, n long, places array<long>, bits array<long>"))
     classes = marks.groupBy("cls").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.min("doc_id").alias("first"))
     fits = F.least("un", "vn") >= similarity * F.greatest("un", "vn")
     near = links(marks.select("fp").distinct(), distance)
@@ -319,7 +332,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, dis
     def verified(pairs):
         """Of pairs (uc, vc, uf, vf) of classes with a document each, the links (u, v) that are similar enough."""
         wanted = pairs.select(F.explode(F.array("uf", "vf")).alias("doc_id")).distinct()
-        sets = staged(rows.where(_perhaps(wanted)(F.col("doc_id"))).join(wanted, "doc_id", "left_semi").select("raw").mapInPandas(gather, "cls long, set array<long>"))
+        sets = staged(rows.where(_perhaps(wanted)(F.col("doc_id"))).join(wanted, "doc_id", "left_semi").select("raw").mapInArrow(gather, "cls long, set array<long>"))
         both = (pairs.select("uc", "vc").join(sets.select(F.col("cls").alias("uc"), F.col("set").alias("us")), "uc")
                 .join(sets.select(F.col("cls").alias("vc"), F.col("set").alias("vs")), "vc"))
         common = F.size(F.array_intersect("us", "vs"))
