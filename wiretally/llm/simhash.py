@@ -114,7 +114,8 @@ def links(fps: DataFrame, distance: int = 3) -> DataFrame:
     near = (F.col("u") != F.col("v")) & (F.bit_count(differ) <= distance) & (F.col("uk") == first)
     # Two rows of an equal segment meet both ways round, so the lesser one leads.
     led = F.col("uk").isin(wild) | (F.col("u") < F.col("v"))
-    met = low.join(high, [*meets, near, led])
+    # Spark takes an exploded side for about as large as the table before it, and would broadcast what the driver cannot hold.
+    met = low.join(high.hint("merge"), [*meets, near, led])
     return met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
 
 
