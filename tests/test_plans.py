@@ -61,3 +61,9 @@ def test_trailing_windows_are_cut_in_time(spark):
 def test_served_scores_read_the_packets_no_more_than_the_evidence_does(spark):
     """Heads score staged windows and SAs, not packets in a scan for each use."""
     assert plan_of(QUERIES["i9_with_scores"](spark, SF)).count("FileScan parquet") <= 2
+
+
+def test_window_features_deal_packets_twice(spark):
+    """Once by chunk and once by window; both readers of the second share it (the plan before it runs lists it for each)."""
+    text = plan_of(QUERIES["a12_flow_window_features"](spark, SF))
+    assert len(re.findall(r"Exchange hashpartitioning", text)) <= 4
