@@ -67,3 +67,9 @@ def test_window_features_deal_packets_twice(spark):
     """Once by chunk and once by window; both readers of the second share it (the plan before it runs lists it for each)."""
     text = plan_of(QUERIES["a12_flow_window_features"](spark, SF))
     assert len(re.findall(r"Exchange hashpartitioning", text)) <= 4
+
+
+def test_port_scans_make_flow_ids_after_packets_are_dealt(spark):
+    """Ids are longer than what they are made of, so they are not shuffled with every packet."""
+    text = plan_of(th.port_scan_triggers(view(spark, SF, "packets_fx")))
+    assert text.index("sha2(") < text.index("Exchange hashpartitioning")
